@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import mixing, quality, secrets, sharding
+from varve.llm import jaccard, mixing, packing, quality, secrets, sharding
 from varve.llm.oracles import ORACLES
 from varve.llm.text import table, word_count
 from varve.session import stash
 
 
+def vocabulary_path(name: str) -> str:
+    """Where the installed package of public vocabularies keeps a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = sharding.lookup_table(sharding.shard_names(spark))
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", slots)
@@ -40,10 +47,20 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(found).select(F.col("id").alias("doc_id"), *names)
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return jaccard.groups(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "rep")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary or vocabulary_path(packing.VOCABULARY))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
     sized, _ = stash(docs, "mixing")
     return mixing.mix(sized, size=F.col("words")).drop("words")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_secrets, op3_quality, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_secrets, op3_quality, op6_jaccard, op7_packing, op10_mixing)}
