@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import jaccard, mixing, packing, quality, secrets, sharding
+from varve.llm import jaccard, mixing, packing, pii, quality, secrets, sharding
 from varve.llm.oracles import ORACLES
 from varve.llm.text import table, word_count
 from varve.session import stash
@@ -57,10 +57,14 @@ def op7_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
     sized, _ = stash(docs, "mixing")
     return mixing.mix(sized, size=F.col("words")).drop("words")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_secrets, op3_quality, op6_jaccard, op7_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_secrets, op3_quality, op6_jaccard, op7_packing, op8_pii, op10_mixing)}
