@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import html, jaccard, mixing, neighbours, packing, pii, quality, secrets, sharding
+from varve.llm import html, jaccard, lm, mixing, neighbours, packing, pii, quality, secrets, sharding
 from varve.llm.oracles import ORACLES
 from varve.llm.text import table, word_count
 from varve.session import stash
@@ -47,6 +47,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(found).select(F.col("id").alias("doc_id"), *names)
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return lm.score(docs).withColumnRenamed("id", "doc_id")
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = stash(neighbours.usable(table(spark, sf_dir, "embeddings")), "vectors")
     return neighbours.search(rows, rows.where(F.col("id") % 20 == 0))
@@ -76,4 +81,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized, size=F.col("words")).drop("words")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_secrets, op3_quality, op5_neighbours, op6_jaccard, op7_packing, op8_pii, op9_html, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_secrets, op3_quality, op4_lm, op5_neighbours, op6_jaccard, op7_packing, op8_pii, op9_html, op10_mixing)}
