@@ -49,25 +49,3 @@ def key_range(entries: DataFrame, lo: object = None, hi: object = None, key: str
     if lo is not None:
         entries = entries.where(F.col(key) >= F.lit(lo))
     return entries if hi is None else entries.where(F.col(key) <= F.lit(hi))
-
-
-def near(rows: DataFrame, probes: DataFrame, less: bool, allow_equal: bool, key: str = "user_key", probe: str = "probe") -> DataFrame:
-    """(probe, found): nearest key before or after each probe, null if there is none.
-
-    One sorted pass: keys and probes are merged by range, and the last (or first) key seen is carried over
-    each range's border through the per-range extremes. No probe is compared with all keys.
-    """
-    keys = rows.select(F.col(key).alias("k")).distinct()
-    at = 1 if (less == allow_equal) else 0  # where a key equal to the probe sorts
-    merged = keys.select(F.col("k"), F.lit(1 - at).alias("is_probe_first"), F.col("k").alias("key"), F.lit(None).cast(probes.schema[probe].dataType).alias("p")).unionByName(
-        probes.select(F.col(probe).alias("k"), F.lit(at).alias("is_probe_first"), F.lit(None).cast(rows.schema[key].dataType).alias("key"), F.col(probe).alias("p"))
-    )
-    merged = merged.withColumnRenamed("is_probe_first", "tie")
-    order = [F.col("k").asc(), F.col("tie").asc()] if less else [F.col("k").desc(), F.col("tie").desc()]
-    parts = merged.repartitionByRange(F.col("k")).withColumn("part", F.spark_partition_id())
-    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    own = parts.withColumn("found", F.last("key", ignorenulls=True).over(inside))
-    edge = parts.groupBy("part").agg((F.max("key") if less else F.min("key")).alias("edge"))
-    over = Window.orderBy(F.col("part").asc() if less else F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carry = edge.withColumn("carry", F.last("edge", ignorenulls=True).over(over)).select("part", "carry")
-    return own.where(F.col("p").isNotNull()).join(F.broadcast(carry), "part").select(F.col("p").alias(probe), F.coalesce("found", "carry").alias("found"))
