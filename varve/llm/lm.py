@@ -333,7 +333,7 @@ def train(training: DataFrame, voc, counted: Vocabulary) -> dict[str, np.ndarray
     while width > 32:
         width = -(-width // 32)
         part = part.repartition(width).mapInArrow(mean, "n long, w binary")
-    got = part.coalesce(1).mapInArrow(mean, "n long, w binary").collect()
+    got = part.repartition(1).mapInArrow(mean, "n long, w binary").collect()
     return weights_of(got[0]["w"]) if got else p
 
 

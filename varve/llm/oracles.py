@@ -8,20 +8,20 @@ _DIGEST = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 
 OP1 = f"""
 WITH RECURSIVE shards AS (
-  SELECT i::INT AS shard, {_DIGEST.format("'offset:shard-' || i")} % {TABLE_SIZE} AS at,
-         {_DIGEST.format("'skip:shard-' || i")} % ({TABLE_SIZE} - 1) + 1 AS skip
+  SELECT i::INT AS shard, {_DIGEST.format("'offset:shard-' || i")} % {TABLE_SIZE} AS a0,
+         {_DIGEST.format("'skip:shard-' || i")} % ({TABLE_SIZE} - 1) + 1 AS a1
   FROM range({SHARDS}) t(i)
 ), orders AS (
-  SELECT list({{'at': at, 'skip': skip}} ORDER BY shard) AS s FROM shards
+  SELECT list(struct_pack(a0 := a0, a1 := a1) ORDER BY shard) AS s FROM shards
 ), fill AS (
   SELECT 0 AS t, list_transform(range({TABLE_SIZE}), lambda x: -1) AS tab, list_transform(range({SHARDS}), lambda x: 0) AS tries FROM orders
   UNION ALL
   SELECT t + 1,
-         list_transform(tab, lambda v, i: CASE WHEN i - 1 = (o.at + j * o.skip) % {TABLE_SIZE} THEN (t % {SHARDS})::INT ELSE v END),
+         list_transform(tab, lambda v, i: CASE WHEN i - 1 = (o.a0 + j * o.a1) % {TABLE_SIZE} THEN (t % {SHARDS})::INT ELSE v END),
          list_transform(tries, lambda v, i: CASE WHEN i - 1 = t % {SHARDS} THEN (j + 1)::INT ELSE v END)
   FROM (
     SELECT t, tab, tries, o,
-           list_filter(range(tries[t % {SHARDS} + 1], {TABLE_SIZE}), lambda k: tab[(o.at + k * o.skip) % {TABLE_SIZE} + 1] = -1)[1] AS j
+           list_filter(range(tries[t % {SHARDS} + 1], {TABLE_SIZE}), lambda k: tab[(o.a0 + k * o.a1) % {TABLE_SIZE} + 1] = -1)[1] AS j
     FROM (SELECT t, tab, tries, (SELECT s FROM orders)[t % {SHARDS} + 1] AS o FROM fill WHERE t < {TABLE_SIZE})
   )
 ), slots AS (
