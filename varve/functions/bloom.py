@@ -26,11 +26,11 @@ def probe_bits(key: Column, n_bits: Column, k: int) -> Column:
 
 
 def build(keys: DataFrame, group: str, key: str, bits_per_key: int = 10) -> DataFrame:
-    """(group, n_bits, k, bits): one filter for each group, over user keys. bits: the distinct set bits."""
+    """(group, n_bits, bits, n_probes): one filter for each group, over user keys. bits: the distinct set bits."""
     k = probes_per_key(bits_per_key)
     n = keys.groupBy(group).agg((F.ceil(F.greatest(F.count(F.lit(1)) * bits_per_key, F.lit(LEAST_BITS)) / 8) * 8).cast("long").alias("n_bits"))
     hit = keys.join(n, group).select(group, "n_bits", F.explode(probe_bits(F.col(key), F.col("n_bits"), k)).alias("bit"))
-    return hit.groupBy(group, "n_bits").agg(F.collect_set("bit").alias("bits")).withColumn("k", F.lit(k))
+    return hit.groupBy(group, "n_bits").agg(F.collect_set("bit").alias("bits")).withColumn("n_probes", F.lit(k))
 
 
 def may_contain(key: Column, n_bits: Column, bits: Column, k: int) -> Column:

@@ -313,7 +313,7 @@ def covering_range(spark, d):
     return meta(spark, d).groupBy("level").agg(F.sum("file_size").alias("bytes"), F.min("smallest_key").alias("lo"), F.max("largest_key").alias("hi"))
 
 
-@query(f"SELECT CAST(CASE WHEN count(*) FILTER (level = 0 AND largest_key >= 20 AND smallest_key <= 40) > 0 THEN 0 ELSE -1 END AS INT) AS level FROM {META}")
+@query(f"SELECT CAST(CASE WHEN count(*) FILTER (level <= 1) > 0 THEN 0 WHEN count(*) FILTER (level = 2) > 0 THEN 1 ELSE 2 END AS INT) AS level FROM {META} WHERE largest_key >= 20 AND smallest_key <= 40")
 def flush_level(spark, d):
     return M.flush_level(meta(spark, d), 20, 40)
 
