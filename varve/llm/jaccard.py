@@ -110,7 +110,7 @@ def _sketch(docs: DataFrame, n: int, cells: int) -> np.ndarray:
         width = -(-width // 32)
         part = part.repartition(width).mapInArrow(add, "k int, c binary")
     total = np.zeros(cells, np.int64)
-    for r in part.coalesce(1).mapInArrow(add, "k int, c binary").collect():  # the table: 8 bytes a cell
+    for r in part.repartition(1).mapInArrow(add, "k int, c binary").collect():  # the table: 8 bytes a cell
         total[r["k"] * chunk : (r["k"] + 1) * chunk] += np.frombuffer(r["c"], np.int64)
     return np.minimum(total, 2**31 - 1).astype(np.int32)
 
