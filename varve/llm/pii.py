@@ -37,21 +37,23 @@ MALE_CYRILLIC = "Иван Пётр Алексей Дмитрий Сергей А
 FEMALE_CYRILLIC = "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана".split()
 SYLLABLES = {"latin": "bar ken lor mi ran del sto wel hart ming ner tol vas per gar lin dor sel mun ford".split(), "cyrillic": "бар кен лор ми ран дел сто вел гар лин дор сел мун пор тов рин".split()}
 
+#: What a title or given name begins with: one look at a character spares the long alternations.
+_FIRST = "(?=[" + "".join(sorted({x[0] for x in MALE_TITLES + FEMALE_TITLES + MALE_NAMES + FEMALE_NAMES + MALE_CYRILLIC + FEMALE_CYRILLIC})) + "])"
 _L = r"\p{L}"
 _NAME = r"\p{Lu}\p{Ll}+"
 _TITLE = "|".join(sorted(MALE_TITLES + FEMALE_TITLES, key=len, reverse=True))
 _GIVEN = "|".join(sorted(MALE_NAMES + FEMALE_NAMES + MALE_CYRILLIC + FEMALE_CYRILLIC, key=len, reverse=True))
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
-IBAN = r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-IP = r"(?<![0-9])(?<![0-9]\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
-SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?(?:[\x20.-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])"
-NAME = rf"(?<!{_L})(?:(?:{_TITLE})\.?\x20{_NAME}(?:\x20{_NAME})?|(?:{_GIVEN})\x20{_NAME})(?!{_L})"
+IBAN = r"(?=[A-Z]{2}[0-9])(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+IP = r"(?=[0-9])(?<![0-9])(?<![0-9]\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
+SSN = r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+PHONE = r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?(?:[\x20.-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])|(?=[0-9])(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
+CARD = r"(?=[0-9])(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])"
+NAME = rf"{_FIRST}(?<!{_L})(?:(?:{_TITLE})\.?\x20{_NAME}(?:\x20{_NAME})?|(?:{_GIVEN})\x20{_NAME})(?!{_L})"
 ANY = "|".join((EMAIL, IBAN, IP, SSN, PHONE, CARD, NAME))
 KINDS = ("email", "iban", "ip", "ssn", "phone", "card", "name")
 #: Holds for every text with a match, and costs little.
-MAYBE = rf"[0-9]|@|(?:{_TITLE}|{_GIVEN})\.?\x20\p{{Lu}}"
+MAYBE = rf"[0-9]|@|{_FIRST}(?:{_TITLE}|{_GIVEN})\.?\x20\p{{Lu}}"
 
 ACCENTS, CYRILLIC, GREEK = "áéíóúàèìòùâêîôûäëïöü", "абвгдежзиклмнопрстуф", "αβγδεζηθικλμνξοπρστυ"
 
@@ -226,9 +228,11 @@ def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text: str =
         return let(new, lambda xs: F.when(kind_of(m) == "name", names(xs)).otherwise(F.get(xs, F.lit(0))))
 
     t = F.col(text)
-    # gaps and surrogates in turn
-    rebuilt = let(F.transform(mentions(t), whole), lambda xs: F.array_join(F.zip_with(F.split(t, ANY, -1), xs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
-    n = F.coalesce(F.size(mentions(t)), F.lit(0)).cast("long")
-    out = docs2.withColumn("_n", F.when(t.isNull(), F.lit(0).cast("long")).otherwise(n))
-    out = out.withColumn("_t", F.when(F.col("_n") > 0, rebuilt).otherwise(t))
-    return out.select(*[F.col("_t").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != "n_entities"], F.col("_n").alias("n_entities"))
+
+    def put(ms: Column) -> Column:
+        # gaps and surrogates in turn
+        rebuilt = let(F.transform(ms, whole), lambda xs: F.array_join(F.zip_with(F.split(t, ANY, -1), xs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
+        return F.struct(F.size(ms).cast("long").alias("n"), F.when(F.size(ms) > 0, rebuilt).otherwise(t).alias("text"))
+
+    out = docs2.withColumn("_r", F.when(t.isNotNull(), let(mentions(t), put)))
+    return out.select(*[F.col("_r.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != "n_entities"], F.coalesce("_r.n", F.lit(0).cast("long")).alias("n_entities"))
