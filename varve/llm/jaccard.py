@@ -38,6 +38,8 @@ CELLS, BANDS = 1 << 20, 16
 CHUNK = 1 << 14
 #: Ids that a broadcast semi-join takes at most; beyond it the join is dealt by id.
 FEW = 1_000_000
+#: Entries of a worker's table of word hashes.
+WORDS_HELD = 250_000
 TURNS = 3
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -51,7 +53,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_WORDS) > 1_000_000:
+    if len(_WORDS) > WORDS_HELD:
         _WORDS.clear()
     got = list(map(_WORDS.get, words))
     if None in got:
@@ -74,6 +76,12 @@ def element_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(_mix(g))
 
 
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set as two signed numbers."""
+    d = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
 def _sketch(docs: DataFrame, n: int, cells: int) -> np.ndarray:
     """Document frequencies by cell over all documents, as a table of fixed size."""
     chunk = min(CHUNK, cells)
@@ -91,6 +99,7 @@ def _sketch(docs: DataFrame, n: int, cells: int) -> np.ndarray:
                     held, size = [], 0
         if held:
             total += np.bincount(np.concatenate(held), minlength=cells)
+        _WORDS.clear()
         yield from rows(total)
 
     def rows(total: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -130,10 +139,10 @@ def signatures(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> Dat
             sizes, f1, f2, prefix, bands = [], [], [], [], []
             for text in b.column(1).to_pylist():
                 s = element_set(text, n)
-                d = xxhash.xxh3_128_digest(s.tobytes())
+                a, c = fingerprint(s)
                 sizes.append(len(s))
-                f1.append(int.from_bytes(d[:8], "little", signed=True))
-                f2.append(int.from_bytes(d[8:], "little", signed=True))
+                f1.append(a)
+                f2.append(c)
                 p = prefix_length(len(s), percent) if len(s) else 0
                 order = np.lexsort((s, freq[(s % np.uint64(cells)).astype(np.int64)]))[:p]
                 prefix.append(s[order].view(np.int64))
@@ -147,21 +156,26 @@ def signatures(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> Dat
                 ],
                 ["id", "n", "f1", "f2", "prefix", "bands"],
             )
+        _WORDS.clear()
 
     return docs.select("id", "text").mapInArrow(run, "id long, n long, f1 long, f2 long, prefix array<long>, bands array<int>")
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(id, s binary) of the given ids: sorted 64-bit hashes."""
+def whole_sets(docs: DataFrame, ids: DataFrame, n: int, repeats: bool = False) -> DataFrame:
+    """(id, s binary) of the given ids: sorted 64-bit hashes; of repeated ids the set with the smallest fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([element_set(t, n).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["id", "s"])
+                sets = [element_set(t, n) for t in part.column(1).to_pylist()]
+                marks = [fingerprint(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([a for a, _ in marks], pa.int64()), pa.array([c for _, c in marks], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "f1", "f2", "s"])
+        _WORDS.clear()
 
     few = F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids
-    return docs.select("id", "text").join(few, "id", "left_semi").mapInArrow(run, "id long, s binary")
+    out = docs.select("id", "text").join(few, "id", "left_semi").mapInArrow(run, "id long, f1 long, f2 long, s binary")
+    return out.groupBy("id").agg(F.min_by("s", F.struct("f1", "f2")).alias("s")) if repeats else out.select("id", "s")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -213,12 +227,17 @@ def links(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, cells: int =
     head_sig = sig.join(heads, ["id", "f1", "f2"], "left_semi").dropDuplicates(["id"])
     rows = head_sig.select("id", "n", F.posexplode("prefix").alias("pos", "e"))
     by = Window.partitionBy("e").orderBy("id")
-    near = rows.withColumns({"p": F.lag("id").over(by), "q": F.lead("id").over(by), "first": F.first(F.struct("id", "n", "pos")).over(by)}).where("p is not null or q is not null")
-    shared, shared_path = stash(near.select("e", "id", "n", "pos", F.col("first.id").alias("id0"), F.col("first.n").alias("n0"), F.col("first.pos").alias("pos0")), "shared")
+    near = rows.withColumns({"p": F.lag("id").over(by), "q": F.lead("id").over(by)}).where("p is not null or q is not null")
+    near, near_path = stash(near.select("e", "id", "n", "pos"), "near")
+    # rows without any partner that the filters let pass are of no use to any turn
+    mate = near.select(F.col("e").alias("e1"), F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"))
+    live = near.join(mate, (F.col("e") == F.col("e1")) & (F.col("id") != F.col("id1")) & _may_link(percent, "n", "n1", "pos", "pos1"), "left_semi")
+    shared, shared_path = stash(live, "shared")
+    remove(spark, near_path)
     bands = sig.select("id", "f1", "f2", "bands").join(heads, ["id", "f1", "f2"], "left_semi").select("id", "bands", F.aggregate("bands", F.lit(0).cast("long"), lambda t, x: t + x).alias("n")).dropDuplicates(["id"])
     need, need_path = stash(shared.select("id").distinct(), "need")
     some, some_path = stash(bands.join(need, "id", "left_semi"), "bands")
-    sets, sets_path = stash(whole_sets(docs.dropDuplicates(["id"]) if _repeats(members, sig) else docs, need, n), "sets")
+    sets, sets_path = stash(whole_sets(docs, need, n, members.count() != sig.count()), "sets")
 
     def filtered(pairs: DataFrame) -> DataFrame:
         """a < b, once each, past the suffix filter."""
@@ -232,11 +251,13 @@ def links(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, cells: int =
     tested: DataFrame | None = None
     for turn in range(TURNS):
         if turn == 0:
-            cand = shared.where("id != id0").where(_may_link(percent, "n", "n0", "pos", "pos0")).select("id", F.col("id0").alias("mate"))
+            first = shared.withColumn("o", F.first(F.struct("id", "n", "pos")).over(by))
+            first = first.select("id", "n", "pos", F.col("o.id").alias("mate"), F.col("o.n").alias("n0"), F.col("o.pos").alias("pos0"))
+            cand = first.where("id != mate").where(_may_link(percent, "n", "n0", "pos", "pos0")).select("id", "mate")
         else:
             mixed = _mixed(shared, label)
             order = Window.partitionBy("e").orderBy(F.xxhash64(F.lit(turn), "c"), F.xxhash64(F.lit(turn), "id"))
-            nxt = mixed.withColumn("o", F.lead(F.struct("id", "n", "pos", "c")).over(order)).select("id", "n", "pos", "c", "o")
+            nxt = mixed.withColumn("o", F.lead(F.struct("id", "n", "pos", "c")).over(order))
             nxt = nxt.where("o is not null").select("id", "n", "pos", "c", F.col("o.id").alias("mate"), F.col("o.n").alias("n0"), F.col("o.pos").alias("pos0"), F.col("o.c").alias("c0"))
             cand = nxt.where("c != c0").where(_may_link(percent, "n", "n0", "pos", "pos0")).select("id", "mate")
         pairs = filtered(best(cand).select(F.col("id").alias("a"), F.col("mate").alias("b")))
@@ -265,10 +286,6 @@ def links(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, cells: int =
     return members.drop("f1", "f2"), last if found is None else found.unionByName(last)
 
 
-def _repeats(members: DataFrame, sig: DataFrame) -> bool:
-    return members.count() != sig.count()
-
-
 def _mixed(shared: DataFrame, label: DataFrame) -> DataFrame:
     """Prefix rows of the elements that more than one component holds."""
     rows = shared.select("e", "id", "n", "pos").join(label, "id")
