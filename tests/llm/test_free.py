@@ -65,6 +65,22 @@ def test_gradients():
         assert (loss(h + step) - loss(h - step)) / 2e-5 == pytest.approx(dh[at], rel=1e-3, abs=1e-6)
 
 
+def test_every_training_document_trains_weights(spark, monkeypatch):
+    monkeypatch.setattr(lm, "START_TOKENS", 0)  # the start learns from nothing
+    rows = [(i, t) for i, t in small_corpus(400) if t and i]
+    df = spark.createDataFrame(rows, "id long, text string")
+    # what a sample of one in 16 by the text's hash leaves out
+    rest = df.where("pmod(xxhash64(text, 5), 16) != 0").coalesce(1)
+    voc, _ = lm.vocabulary(lm.count(rest))
+    got = lm.train(rest, spark.sparkContext.broadcast(voc), voc)
+    assert np.abs(got["cls"] - lm.start(voc)["cls"]).max() > 1e-3
+    # the weights are those of every token in one partition
+    p = lm.start(voc)
+    docs = [voc.model_ids(ws, voc.look(ws)) for ws in (lm.tokens(r["text"]) for r in rest.collect())]
+    seen = lm.learn(p, {k: np.zeros_like(v) for k, v in p.items()}, docs, wide=lm.WIDE)
+    assert seen == sum(map(len, docs)) and all(np.allclose(got[k], p[k], atol=1e-4) for k in p)
+
+
 def test_scores_of_nothing(spark):
     df = spark.createDataFrame([], "id long, text string")
     assert lm.score(df).count() == 0

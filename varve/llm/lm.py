@@ -12,9 +12,9 @@ which its probability is its smoothed share of the class's count. Each class of
 unknown word, so the model is a distribution.
 
 Training is truncated backpropagation through windows of ``WINDOW`` tokens: first in one task over a
-sample of about ``START_TOKENS`` tokens, then in every partition over one document in ``EVERY`` of its
-training documents, from the same start; weights are averaged by tokens in a tree. So the share of
-documents that trains weights is fixed and grows with the corpus, and all training documents are counted.
+sample of about ``START_TOKENS`` tokens, then in every partition over all of its training documents, from
+the same start; weights are averaged by tokens in a tree. So every token of every training document is
+counted and trains weights; the start only gives the partitions a common point to leave from.
 
 Defined results: a null text is the empty text (the end token alone); a null id counts as the empty text
 in the split; repeated rows are scored each; an empty table gives no rows; without training documents
@@ -39,7 +39,9 @@ from varve.session import stash
 HEAD = 1 << 18
 CLASSES, MEMBERS, TAILS, UNITS = 48, 32, 16, 16
 WINDOW, LANES, RATE = 32, 64, 0.1
-START_TOKENS, EVERY, SEED = 300_000, 16, 4
+#: Lanes of a partition's training, which has more documents than the start.
+WIDE = 256
+START_TOKENS, SEED = 300_000, 4
 SMOOTH = 0.1
 END = b"\n"
 FLUSH = 400_000
@@ -150,7 +152,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _step(p: dict, x: np.ndarray, h: np.ndarray):
     """One token for each lane: gates and the new state."""
-    a = p["in"][x] + p["bias"]
+    return _gates(p, p["in"][x] + p["bias"], h)
+
+
+def _gates(p: dict, a: np.ndarray, h: np.ndarray):
     r = h @ p["rec"]
     g = _sigmoid(a[:, : 2 * UNITS] + r[:, : 2 * UNITS])
     z, q, c = g[:, :UNITS], g[:, UNITS:], r[:, 2 * UNITS :]
@@ -165,48 +170,64 @@ def class_of(y: np.ndarray) -> np.ndarray:
 
 def output(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log probability (natural) of class and member of y given states h; with grad, adds gradients and returns that of h."""
-    cls = class_of(y)
-    u = h @ p["cls"] + p["cls_b"]
-    u -= u.max(1, keepdims=True)
-    e = np.exp(u)
-    s = e.sum(1)
+    cls, ht = class_of(y), np.ascontiguousarray(h.T)
     rows = np.arange(len(y))
-    lp = u[rows, cls] - np.log(s)
+    # classes by tokens: sums and maxima run along whole rows
+    u = p["cls"].T @ ht + p["cls_b"][:, None]
+    u -= u.max(0)
+    lp = u[cls, rows]
+    np.exp(u, out=u)
+    s = u.sum(0)
+    lp -= np.log(s)
     dh = None
     if grad is not None:
-        d = e / s[:, None]
-        d[rows, cls] -= 1
-        grad["cls"] += h.T @ d
-        grad["cls_b"] += d.sum(0)
-        dh = d @ p["cls"].T
+        u /= s
+        u[cls, rows] -= 1
+        grad["cls"] += ht @ u.T
+        grad["cls_b"] += u.sum(1)
+        dh = p["cls"] @ u
     inner = np.flatnonzero((cls > 0) & (cls <= CLASSES))
     order = inner[np.argsort(cls[inner], kind="stable")]
     cut = np.searchsorted(cls[order], np.arange(1, CLASSES + 2))
+    ho, m = ht[:, order], (y[order] - 1) % MEMBERS
+    more, back = np.empty(len(order), lp.dtype), np.empty_like(ho)
     for k in range(CLASSES):
-        at = order[cut[k] : cut[k + 1]]
-        if not len(at):
+        a, b = cut[k], cut[k + 1]
+        if a == b:
             continue
-        u = h[at] @ p["mem"][k] + p["mem_b"][k]
-        u -= u.max(1, keepdims=True)
-        e = np.exp(u)
-        s = e.sum(1)
-        m = (y[at] - 1) % MEMBERS
-        lp[at] += u[np.arange(len(at)), m] - np.log(s)
+        u = p["mem"][k].T @ ho[:, a:b] + p["mem_b"][k][:, None]
+        u -= u.max(0)
+        of = np.arange(b - a)
+        more[a:b] = u[m[a:b], of]
+        np.exp(u, out=u)
+        s = u.sum(0)
+        more[a:b] -= np.log(s)
         if grad is not None:
-            d = e / s[:, None]
-            d[np.arange(len(at)), m] -= 1
-            grad["mem"][k] += h[at].T @ d
-            grad["mem_b"][k] += d.sum(0)
-            dh[at] += d @ p["mem"][k].T
+            u /= s
+            u[m[a:b], of] -= 1
+            grad["mem"][k] += ho[:, a:b] @ u.T
+            grad["mem_b"][k] += u.sum(1)
+            back[:, a:b] = p["mem"][k] @ u
+    lp[order] += more
+    if grad is not None:
+        dh[:, order] += back
+        dh = np.ascontiguousarray(dh.T)
     return lp, dh
 
 
-def learn(p: dict, squares: dict, docs: list[np.ndarray], passes: int = 1, rate: float = RATE) -> int:
-    """Truncated backpropagation over documents laid end to end in lanes; Adagrad. Returns the tokens seen."""
+def _rows(at: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of at, and the rows of d summed by them."""
+    order = np.argsort(at, kind="stable")
+    cut = np.flatnonzero(np.diff(at[order], prepend=-1))
+    return at[order][cut], np.add.reduceat(d[order], cut, axis=0)
+
+
+def learn(p: dict, squares: dict, docs: list[np.ndarray], passes: int = 1, rate: float = RATE, wide: int = LANES) -> int:
+    """Truncated backpropagation over documents laid end to end in lanes; Adagrad. Returns the tokens seen: all, each pass."""
     stream = np.concatenate(docs) if docs else np.zeros(0, np.int32)
-    lanes = max(1, min(LANES, len(stream) // WINDOW))
+    lanes = max(1, min(wide, len(stream) // WINDOW))
     length = len(stream) // lanes
-    if length < 2:
+    if not length:
         return 0
     grid = stream[: lanes * length].reshape(lanes, length)
     for _ in range(passes):
@@ -214,34 +235,43 @@ def learn(p: dict, squares: dict, docs: list[np.ndarray], passes: int = 1, rate:
         for at in range(0, length, WINDOW):
             y = grid[:, at : at + WINDOW].T
             x = np.concatenate((grid[:, at - 1][None] if at else np.zeros((1, lanes), y.dtype), y[:-1]))
-            g = {k: np.zeros_like(v) for k, v in p.items()}
-            states, kept = [], []
+            g = {k: np.zeros_like(v) for k, v in p.items() if k != "in"}
+            fresh = (x == 0)[:, :, None]  # a document begins behind an end
+            a = p["in"][x] + p["bias"]
+            kept, states = [], np.empty((len(y), lanes, UNITS), np.float32)
             for t in range(len(y)):
-                h = np.where((x[t] == 0)[:, None], np.float32(0), h)  # a document begins behind an end
-                z, q, c, n, new = _step(p, x[t], h)
+                h = np.where(fresh[t], np.float32(0), h)
+                z, q, c, n, new = _gates(p, a[t], h)
                 kept.append((h, z, q, c, n))
-                h = new
-                states.append(h)
-            _, dh_all = output(p, np.concatenate(states), y.ravel(), g)
+                h = states[t] = new
+            _, dh_all = output(p, states.reshape(-1, UNITS), y.ravel(), g)
             dh_all = dh_all.reshape(len(y), lanes, UNITS)
-            back = np.zeros_like(h)
+            back, rec = np.zeros_like(h), np.ascontiguousarray(p["rec"].T)
+            d_in, d_rec = np.empty((2, len(y), lanes, 3 * UNITS), np.float32)
             for t in range(len(y) - 1, -1, -1):
                 h0, z, q, c, n = kept[t]
                 dh = dh_all[t] + back
                 dn = dh * (1 - z) * (1 - n * n)
-                dz = dh * (h0 - n) * z * (1 - z)
-                dq = dn * c * q * (1 - q)
-                d_in = np.concatenate((dz, dq, dn), 1)
-                d_rec = np.concatenate((dz, dq, dn * q), 1)
-                np.add.at(g["in"], x[t], d_in)
-                g["bias"] += d_in.sum(0)
-                g["rec"] += h0.T @ d_rec
-                back = np.where((x[t] == 0)[:, None], 0, dh * z + d_rec @ p["rec"].T)
+                d = d_in[t]
+                d[:, :UNITS] = dh * (h0 - n) * z * (1 - z)
+                d[:, UNITS : 2 * UNITS] = dn * c * q * (1 - q)
+                d[:, 2 * UNITS :] = dn
+                d_rec[t, :, : 2 * UNITS] = d[:, : 2 * UNITS]
+                d_rec[t, :, 2 * UNITS :] = dn * q
+                back = np.where(fresh[t], np.float32(0), dh * z + d_rec[t] @ rec)
+            flat = d_in.reshape(-1, 3 * UNITS)
+            g["bias"] += flat.sum(0)
+            g["rec"] += np.concatenate([k[0] for k in kept]).T @ d_rec.reshape(-1, 3 * UNITS)
+            # words that are not in the window have no gradient
+            used, g["in"] = _rows(x.ravel(), flat)
             for k in p:
+                rows = used if k == "in" else slice(None)
                 np.clip(g[k], -50, 50, out=g[k])
-                squares[k] += g[k] * g[k]
-                p[k] -= (rate * g[k] / np.sqrt(squares[k] + 1e-2)).astype(np.float32)
-    return lanes * length * passes
+                squares[k][rows] += g[k] * g[k]
+                p[k][rows] -= (rate * g[k] / np.sqrt(squares[k][rows] + 1e-2)).astype(np.float32)
+    # the last tokens, fewer than lanes, in fewer lanes
+    rest = stream[lanes * length :]
+    return lanes * length * passes + (learn(p, squares, [rest], passes, rate, wide) if len(rest) else 0)
 
 
 def score_ids(p: dict, docs: list[np.ndarray]) -> np.ndarray:
@@ -279,7 +309,7 @@ def train(training: DataFrame, voc, counted: Vocabulary) -> dict[str, np.ndarray
     """Weights: a start in one task over a bounded sample, then the average of what every partition makes of it."""
     spark = training.sparkSession
     share = min(1.0, START_TOKENS / max(1, counted.n))
-    pick = F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 20))
+    pick = F.pmod(F.xxhash64(F.col("id").cast("string"), "text", F.lit(SEED)), F.lit(1 << 20))  # copies of a text apart
     p = start(counted)
     squares = {k: np.zeros_like(v) for k, v in p.items()}
     names = list(p)
@@ -300,7 +330,7 @@ def train(training: DataFrame, voc, counted: Vocabulary) -> dict[str, np.ndarray
         learn(own, own_sq, [(lambda ws: v.model_ids(ws, v.look(ws)))(tokens(t)) for t in texts], passes=3)
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([raw(own) + raw(own_sq)], pa.binary())], ["n", "w"])
 
-    sample = training.where(pick < int(share * (1 << 20)) + 1).select("text").repartition(1)
+    sample = training.where(pick < int(share * (1 << 20)) + 1).select("id", "text").distinct().select("text").repartition(1)
     for r in sample.mapInArrow(begin, "n long, w binary").collect():
         p, squares = weights_of(r["w"][: len(r["w"]) // 2]), weights_of(r["w"][len(r["w"]) // 2 :])
     shared = spark.sparkContext.broadcast((p, squares))
@@ -314,9 +344,9 @@ def train(training: DataFrame, voc, counted: Vocabulary) -> dict[str, np.ndarray
                 held.append(v.model_ids(ws, v.look(ws)))
                 size += len(ws)
                 if size > 500_000:
-                    seen += learn(own, own_sq, held)
+                    seen += learn(own, own_sq, held, wide=WIDE)
                     held, size = [], 0
-        seen += learn(own, own_sq, held)
+        seen += learn(own, own_sq, held, wide=WIDE)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([raw(own)], pa.binary())], ["n", "w"])
 
@@ -328,7 +358,7 @@ def train(training: DataFrame, voc, counted: Vocabulary) -> dict[str, np.ndarray
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).tobytes()], pa.binary())], ["n", "w"])
 
-    part = training.where(F.pmod(F.xxhash64("text", F.lit(SEED + 1)), F.lit(EVERY)) == 0).select("text").mapInArrow(run, "n long, w binary")
+    part = training.select("text").mapInArrow(run, "n long, w binary")
     width = part.rdd.getNumPartitions()
     while width > 32:
         width = -(-width // 32)
