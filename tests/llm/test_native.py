@@ -183,6 +183,15 @@ def test_collisions_are_drawn_again(spark, docs_of):
     assert [w[0] for w in out] == ["Mr"] * len(names)
 
 
+def test_more_names_than_three_syllables_have(spark, docs_of):
+    """5,000 Cyrillic surnames: more than the 4,096 triples of syllables."""
+    low = "абвгдежзиклмнопрст"
+    names = ["Щ" + low[i % 18] + low[i // 18 % 18] + low[i // 324 % 18] for i in range(5000)]
+    out = pii.replace(docs_of([(k, " ".join(f"Господин {n}." for n in names[k::10]), "s") for k in range(10)])).collect()
+    drawn = [w for r in out for w in re.findall(r"Господин (\w+)\.", r["text"])]
+    assert len(drawn) == len(set(drawn)) == 5000 and not set(drawn) & set(names)
+
+
 # ---- mixing ----
 
 

@@ -9,7 +9,7 @@ script, a card number keeps its remainder modulo 10 in the Luhn sum, and a name
 
 Collisions: the distinct entities of the whole corpus are checked. Where two share a surrogate, or a
 surrogate is itself an entity of the corpus, all but the first draw again with the next attempt until no
-collision is left. Only those few have an attempt above 0; it is joined to the documents that mention
+collision is left. A name gets one more syllable with each attempt, so names of any number find room. Only those few have an attempt above 0; it is joined to the documents that mention
 them, and all other surrogates are computed in place.
 
 Everything is DataFrame code; a text is split at its matches and put together again.
@@ -27,6 +27,8 @@ from varve.llm.text import let
 from varve.session import stash
 
 KEY = "surrogate-key"
+#: Attempts after which the values of a short mail or phone format count as used up: from then on it grows.
+FULL = 16
 
 # Honorifics and common given names by gender.
 MALE_TITLES = "Mr Sir Herr Señor Monsieur Господин".split()
@@ -117,12 +119,17 @@ def _luhn(m: Column) -> Column:
     return F.pmod(F.aggregate(each, F.lit(0), lambda a, x: a + x), F.lit(10))
 
 
+def _longer(steps: Column, hexes: Column, one) -> Column:
+    """As many pieces as steps, each of a draw of its own: the space of surrogates has no bound."""
+    return F.when(steps > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), lambda k: one(F.sha2(F.concat(hexes, k.cast("string")), 256))), "")).otherwise("")
+
+
 def _person(kind: Column, value: Column, hexes: Column, attempt: Column) -> Column:
     """A name for kinds given:<gender>:<script> and surname:<script>."""
     pick = lambda names: F.get(F.array(*map(F.lit, names)), _number(hexes, 0, len(names)))
-    made = lambda script, extra: F.initcap(F.concat(*[F.get(F.array(*map(F.lit, SYLLABLES[script])), _number(hexes, 8 * k, len(SYLLABLES[script]))) for k in range(3)], *extra))
-    tail = F.when(attempt > 4, F.get(F.array(*map(F.lit, SYLLABLES["latin"])), _number(hexes, 40, 20))).otherwise("")
-    script = F.when(kind.endswith("cyrillic"), made("cyrillic", [])).otherwise(made("latin", [tail]))
+    one = lambda script, digits, at: F.get(F.array(*map(F.lit, SYLLABLES[script])), _number(digits, at, len(SYLLABLES[script])))
+    made = lambda script: F.initcap(F.concat(*[one(script, hexes, 8 * k) for k in range(3)], _longer(attempt, hexes, lambda d: one(script, d, 0))))
+    script = F.when(kind.endswith("cyrillic"), made("cyrillic")).otherwise(made("latin"))
     ending = F.when(kind.startswith("given:f"), F.when(kind.endswith("cyrillic"), "а").otherwise("a")).otherwise("")
     return (
         F.when((kind == "given:m:latin") & (attempt == 0), pick(MALE_NAMES))
@@ -141,7 +148,8 @@ def surrogate(kind: Column, m: Column, attempt: Column, key: str = KEY) -> Colum
         octets = F.array_join(F.array(*[(_number(hexes, 8 * k, 254) + 1).cast("string") for k in range(4)]), ".")
         at = F.instr(m, "@")
         suffix = F.length(F.substring_index(m, ".", -1))
-        mail = F.concat(_reformed(F.substring(m, F.lit(1), F.length(m) - suffix), F.lit(0), hexes), F.substring_index(m, ".", -1))
+        more = attempt - FULL
+        mail = F.concat(_longer(more, hexes, lambda d: _letter("abcdefghijklmnopqrstuvwxyz", d, F.lit(0))), _reformed(F.substring(m, F.lit(1), F.length(m) - suffix), F.lit(0), hexes), F.substring_index(m, ".", -1))
 
         def card(x: Column) -> Column:
             # the last digit has weight 1 in the sum: it takes up the difference
@@ -153,7 +161,8 @@ def surrogate(kind: Column, m: Column, attempt: Column, key: str = KEY) -> Colum
             .when(kind == "ip", octets)
             .when(kind == "card", let(_reformed(m, F.lit(0), hexes), card))
             .when(kind == "iban", _reformed(m, F.lit(2), hexes))
-            .when(kind.isin("phone", "ssn"), _reformed(m, country, hexes))
+            .when(kind == "phone", F.concat(_reformed(m, country, hexes), _longer(more, hexes, lambda d: _number(d, 0, 10).cast("string"))))
+            .when(kind == "ssn", _reformed(m, country, hexes))
             .otherwise(_person(kind, m, hexes, attempt))
         )
 
@@ -188,11 +197,11 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.groupBy("kind", normal(F.col("kind"), F.col("value")).alias("norm")).agg(F.min("value").alias("value"))
 
 
-def redraws(docs: DataFrame, key: str = KEY, text: str = "text", most: int = 64) -> DataFrame:
+def redraws(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """(kind, norm, attempt) of the entities whose first surrogate collides; the others have attempt 0."""
     own, _ = stash(entities(docs, text).withColumn("attempt", F.lit(0)), "entities")
     real = own.select("kind", F.col("norm").alias("s"), F.lit(True).alias("real"))
-    for _ in range(most):
+    while True:  # names, mails and phones grow with the attempt, so there is always room
         drawn = own.withColumn("s", normal(F.col("kind"), surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)))
         # the entity that drew first keeps the surrogate
         rank = F.row_number().over(Window.partitionBy("kind", "s").orderBy("attempt", "norm"))
@@ -201,7 +210,6 @@ def redraws(docs: DataFrame, key: str = KEY, text: str = "text", most: int = 64)
         if not own.where("bad").limit(1).count():
             return own.where("attempt > 0").select("kind", "norm", "attempt")
         own = own.drop("bad")
-    raise RuntimeError("surrogates still collide; use longer ones")
 
 
 def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text: str = "text", again: DataFrame | None = None) -> DataFrame:
