@@ -183,6 +183,23 @@ def test_collisions_are_drawn_again(spark, docs_of):
     assert [w[0] for w in out] == ["Mr"] * len(names)
 
 
+def test_whole_entities_are_found(spark, docs_of):
+    rows = [
+        (1, "+1 (826) 555-4081 190.137.223.204", "s"), (2, "4111 1111 1111 1111 190.137.223.204 end", "s"),
+        (3, "Mr McDonald, Mr O'Brien, James McDonald, Dr Hopper, Prof. Dr. Lovelace, Mr Smith-Jones.", "s"),
+        (4, "Mr Kowal came. Later Kowal's aunt met Kowal-Meyer and Kowalska; Dr Mary Hopper left.", "s"), (5, "Kowal stays here", "s"),
+    ]
+    got = {r["doc_id"]: r for r in pii.replace(docs_of(rows)).collect()}
+    quad = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
+    assert re.fullmatch(rf"\+1 \(\d{{3}}\) \d{{3}}-\d{{4}} {quad}", got[1]["text"]) and re.fullmatch(rf"(?:\d{{4}} ){{4}}{quad} end", got[2]["text"])
+    assert got[1]["n_entities"] == got[2]["n_entities"] == 2 and "190.137" not in got[1]["text"] + got[2]["text"]
+    n = re.fullmatch(r"Mr (\w+), Mr (\w+), (\w+) (\w+), Dr (\w+), Prof\. Dr\. (\w+), Mr (\w+)\.", got[3]["text"])
+    assert n[1] == n[4] and not {"McDonald", "O'Brien", "Hopper", "Lovelace", "Smith"} & set(n.groups())
+    k = re.fullmatch(r"Mr (\w+) came\. Later (\w+)'s aunt met Kowal-Meyer and Kowalska; Dr (\w+) (\w+) left\.", got[4]["text"])
+    assert k[1] == k[2] != "Kowal" and k[3] in pii.FEMALE_NAMES and k[4] == n[5]
+    assert got[5]["text"] == "Kowal stays here"
+
+
 def test_more_names_than_three_syllables_have(spark, docs_of):
     """5,000 Cyrillic surnames: more than the 4,096 triples of syllables."""
     low = "абвгдежзиклмнопрст"

@@ -1,7 +1,8 @@
 """Operator 8: personal data is replaced by keyed surrogates of the same type.
 
 Detected: e-mail addresses, IPv4 addresses, phone numbers, card-like numbers of 13 to 19 digits, social
-security numbers, IBANs, and names behind an honorific or a known given name. A surrogate is drawn from
+security numbers, IBANs, and names behind an honorific or a known given name; a surname found so is replaced
+wherever else its document has it. A surrogate is drawn from
 SHA-256 of a secret key, the type, the normalised value and an attempt number, so an entity gets one
 surrogate in all documents (coreference) and nobody without the key can go back. It keeps the format:
 digits stay digits, separators, case, lengths and country codes stay, a letter is replaced by one of its
@@ -33,6 +34,8 @@ FULL = 16
 # Honorifics and common given names by gender.
 MALE_TITLES = "Mr Sir Herr Señor Monsieur Господин".split()
 FEMALE_TITLES = "Mrs Ms Miss Madam Frau Señora Señorita Madame Mademoiselle Mme Mlle Госпожа".split()
+#: These have no gender; a given name behind them tells it.
+TITLES = "Dr Doctor Doktor Docteur Prof Professor Professeur Mx Доктор Профессор".split()
 MALE_NAMES = "James John Robert Michael William David Richard Thomas Charles Daniel Matthew Peter Paul Mark George Hans Klaus Jürgen Wolfgang Pierre Jean Michel Carlos José Juan Luis Miguel".split()
 FEMALE_NAMES = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Anna Emma Laura Julia Ursula Monika Sabine Marie Claire Isabelle Carmen María Ana Lucía Sofía".split()
 MALE_CYRILLIC = "Иван Пётр Алексей Дмитрий Сергей Андрей Михаил Николай".split()
@@ -40,18 +43,21 @@ FEMALE_CYRILLIC = "Анна Мария Елена Ольга Наталья Та
 SYLLABLES = {"latin": "bar ken lor mi ran del sto wel hart ming ner tol vas per gar lin dor sel mun ford".split(), "cyrillic": "бар кен лор ми ран дел сто вел гар лин дор сел мун пор тов рин".split()}
 
 #: What a title or given name begins with: one look at a character spares the long alternations.
-_FIRST = "(?=[" + "".join(sorted({x[0] for x in MALE_TITLES + FEMALE_TITLES + MALE_NAMES + FEMALE_NAMES + MALE_CYRILLIC + FEMALE_CYRILLIC})) + "])"
+_FIRST = "(?=[" + "".join(sorted({x[0] for x in TITLES + MALE_TITLES + FEMALE_TITLES + MALE_NAMES + FEMALE_NAMES + MALE_CYRILLIC + FEMALE_CYRILLIC})) + "])"
 _L = r"\p{L}"
-_NAME = r"\p{Lu}\p{Ll}+"
-_TITLE = "|".join(sorted(MALE_TITLES + FEMALE_TITLES, key=len, reverse=True))
+#: McDonald, O'Brien, Smith-Jones.
+_NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:['’-]?\p{Lu}\p{Ll}+)*"
+_TITLE = "|".join(sorted(TITLES + MALE_TITLES + FEMALE_TITLES, key=len, reverse=True))
 _GIVEN = "|".join(sorted(MALE_NAMES + FEMALE_NAMES + MALE_CYRILLIC + FEMALE_CYRILLIC, key=len, reverse=True))
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
-IBAN = r"(?=[A-Z]{2}[0-9])(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: No address of four numbers begins behind this space: a number with groups ends here.
+_STOP = r"(?!\x20(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9]))"
+IBAN = r"(?=[A-Z]{2}[0-9])(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:" + _STOP + r"\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IP = r"(?=[0-9])(?<![0-9])(?<![0-9]\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 SSN = r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?(?:[\x20.-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])|(?=[0-9])(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
-CARD = r"(?=[0-9])(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])"
-NAME = rf"{_FIRST}(?<!{_L})(?:(?:{_TITLE})\.?\x20{_NAME}(?:\x20{_NAME})?|(?:{_GIVEN})\x20{_NAME})(?!{_L})"
+PHONE = r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?(?:" + _STOP + r"[\x20.-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])|(?=[0-9])(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
+CARD = r"(?=[0-9])(?<![0-9])[0-9](?:" + _STOP + r"[\x20-]?[0-9]){12,18}(?![0-9])"
+NAME = rf"{_FIRST}(?<!{_L})(?:(?:(?:{_TITLE})\.?\x20)+{_NAME}(?:\x20{_NAME})?|(?:{_GIVEN})\x20{_NAME})(?!{_L})"
 ANY = "|".join((EMAIL, IBAN, IP, SSN, PHONE, CARD, NAME))
 KINDS = ("email", "iban", "ip", "ssn", "phone", "card", "name")
 #: Holds for every text with a match, and costs little.
@@ -173,16 +179,19 @@ def parts(m: Column) -> Column:
     """Entities of one match: array of (kind, value); a name has one for each of its words, title excluded."""
     struct = lambda k, v: F.struct(k.alias("kind"), v.alias("value"))
 
+    # what a name has behind its titles: the last word is never one
+    titles = F.regexp_extract(m, rf"^(?:(?:{_TITLE})\.?\x20)+", 0)
+
     def person(ws: Column) -> Column:
-        title = F.regexp_replace(F.get(ws, F.lit(0)), r"\.$", "")
+        first = F.regexp_replace(F.get(F.split(m, r"\x20"), F.lit(0)), r"\.$", "")
         script = F.when(m.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-        female = title.isin(*FEMALE_TITLES, *FEMALE_NAMES, *FEMALE_CYRILLIC)
+        tells = F.when(first.isin(*TITLES), F.coalesce(F.regexp_extract(titles, r"(?:^|\x20)(" + "|".join(FEMALE_TITLES) + r")\b", 1), F.lit(""))).otherwise(first)
+        tells = F.when(tells == "", F.get(ws, F.lit(0))).otherwise(tells)
+        female = tells.isin(*FEMALE_TITLES, *FEMALE_NAMES, *FEMALE_CYRILLIC)
         given = F.concat(F.lit("given:"), F.when(female, "f").otherwise("m"), F.lit(":"), script)
-        titled = title.isin(*MALE_TITLES, *FEMALE_TITLES)
-        names = F.when(titled, F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(0)))).otherwise(ws)
-        return F.transform(names, lambda w, i: struct(F.when((i == 0) & ((F.size(names) > 1)), given).otherwise(F.concat(F.lit("surname:"), script)), w))
+        return F.transform(ws, lambda w, i: struct(F.when((i == 0) & ((F.size(ws) > 1)), given).otherwise(F.concat(F.lit("surname:"), script)), w))
 
-    return F.when(kind_of(m) == "name", let(F.split(m, r"\x20"), person)).otherwise(F.array(struct(kind_of(m), m)))
+    return F.when(kind_of(m) == "name", let(F.split(F.substring(m, F.length(titles) + 1, F.length(m)), r"\x20"), person)).otherwise(F.array(struct(kind_of(m), m)))
 
 
 def mentions(text: Column) -> Column:
@@ -191,6 +200,15 @@ def mentions(text: Column) -> Column:
     return F.when(text.rlike(MAYBE), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none)
 
 
+def found_by(ms: Column) -> Column:
+    """The pattern of a document with matches ms: ANY, and the bare surnames among them (letters, apostrophes, hyphens)."""
+    surnames = F.filter(F.flatten(F.transform(F.filter(ms, lambda m: kind_of(m) == "name"), parts)), lambda e: e["kind"].startswith("surname:"))
+    return let(
+        F.array_distinct(F.transform(surnames, lambda e: e["value"])),
+        lambda xs: F.when(F.size(xs) == 0, F.lit(ANY)).otherwise(F.concat(F.lit(ANY + r"|(?<!\p{L})(?<!\p{L}['’-])(?:"), F.array_join(xs, "|"), F.lit(r")(?!\p{L}|['’-]\p{Lu})"))),
+    )
+
+
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     """(kind, norm, value), one row for each distinct entity of the corpus."""
     found = docs.select(F.explode(F.array_distinct(F.flatten(F.transform(mentions(F.col(text)), parts)))).alias("e")).select("e.kind", "e.value")
@@ -237,10 +255,14 @@ def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text: str =
 
     t = F.col(text)
 
-    def put(ms: Column) -> Column:
+    def put(found: Column) -> Column:
         # gaps and surrogates in turn
-        rebuilt = let(F.transform(ms, whole), lambda xs: F.array_join(F.zip_with(F.split(t, ANY, -1), xs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
+        by, ms = found["by"], found["ms"]
+        rebuilt = let(F.transform(ms, whole), lambda xs: F.array_join(F.zip_with(F.split(t, by, -1), xs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
         return F.struct(F.size(ms).cast("long").alias("n"), F.when(F.size(ms) > 0, rebuilt).otherwise(t).alias("text"))
 
-    out = docs2.withColumn("_r", F.when(t.isNotNull(), let(mentions(t), put)))
+    # a surname that was found once is replaced wherever the document has it
+    again_in = lambda by: F.struct(by.alias("by"), F.regexp_extract_all(t, by, F.lit(0)).alias("ms"))
+    seen = lambda ms: F.when(F.size(ms) > 0, let(let(found_by(ms), again_in), put)).otherwise(F.struct(F.lit(0).cast("long").alias("n"), t.alias("text")))
+    out = docs2.withColumn("_r", F.when(t.isNotNull(), let(mentions(t), seen)))
     return out.select(*[F.col("_r.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != "n_entities"], F.coalesce("_r.n", F.lit(0).cast("long")).alias("n_entities"))
