@@ -274,3 +274,13 @@ def test_fit_is_nearest(seed):
         take = mixing.fit(sizes, counts, budget)
         assert (take >= 0).all() and (take <= counts).all()
         assert abs(int((take * sizes).sum()) - budget) == min(abs(r - budget) for r in reach)
+
+
+@pytest.mark.parametrize(("sizes", "counts", "budget"), [((300_000, 250_000, 200_000), (1, 1, 1), 500_000), ((60_000, 50_000, 40_000), (1, 1, 1), 90_000), ((300_001, 250_000, 200_003), (2, 3, 2), 900_006), ((10, 1000), (1, 1), 600)])
+def test_fit_of_long_documents(sizes, counts, budget):
+    reach = {0}
+    for s, c in zip(sizes, counts, strict=True):
+        reach = {r + k * s for r in reach for k in range(c + 1)}
+    take = mixing.fit(np.array(sizes), np.array(counts), budget)
+    assert (take >= 0).all() and (take <= np.array(counts)).all()
+    assert abs(int((take * np.array(sizes)).sum()) - budget) == min(abs(r - budget) for r in reach)

@@ -7,8 +7,9 @@ sources in the order in which they reach their limit.
 
 Fitting: of each source as many whole passes are taken as the target holds, and the rest is a budget.
 Documents are counted by exact size; each size gives its share of the budget in whole documents, whole
-documents then fill up from the largest size down, and a bounded-knapsack table over the last few
-thousand words finds the counts that come nearest. Last, of each size the seeded hash of the documents
+documents then fill up from the largest size down, and a bounded-knapsack table over the words left, in
+units of the sizes' common divisor, finds the counts that come nearest. Where that is not exact, documents
+that were taken before go back into the choice. Last, of each size the seeded hash of the documents
 says which ones make up the count. Only (source, size) counts meet in one place.
 
 Choosing n of a size's documents needs no sort of that group: hashes are counted in ranges, whole ranges
@@ -31,6 +32,8 @@ MOST = 2
 SEED = 20
 #: The knapsack table's length in words; and how many ranges a size's hashes are counted in.
 TABLE = 1 << 15
+#: Words of documents taken already that are chosen anew where the rest alone is not met; all, if they are no more.
+LOOSE = 1 << 21
 RANGES = 256
 
 
@@ -68,26 +71,38 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, table: int = TABLE)
         n = min(int(counts[k] - take[k]), max(0, (left - table // 2) // int(s)))
         take[k] += n
         left -= n * int(s)
-    if 0 < left <= 4 * table:
-        take += _knapsack(sizes, counts - take, left)
+    more = _knapsack(sizes, counts - take, left) if left > 0 else np.zeros_like(take)
+    off = abs(left - int((more * sizes).sum()))
+    unit = int(np.gcd.reduce(sizes)) if len(sizes) else 1
+    if off > min(budget % unit, -budget % unit):  # not the nearest multiple: taken documents are chosen anew
+        back = take if int((take * sizes).sum()) <= LOOSE else np.minimum(take, 4)
+        back = np.where((back * sizes).cumsum() <= LOOSE, back, 0)
+        again = _knapsack(sizes, counts - take + back, left + int((back * sizes).sum()))
+        if abs(left + int(((back - again) * sizes).sum())) < off:
+            take, more = take - back, again
+    take = take + more
     out = np.zeros(len(order), np.int64)
     out[order] = take
     return out
 
 
 def _knapsack(sizes: np.ndarray, spare: np.ndarray, left: int) -> np.ndarray:
-    """Bounded knapsack over 0..left + the smallest spare size: counts whose sum is nearest to left."""
+    """Bounded knapsack over 0..left + the largest spare size: counts whose sum is nearest to left."""
     have = spare > 0
-    top = left + (int(sizes[have].min()) if have.any() else 0)
-    used_by = np.full(top + 1, -1, np.int64)  # the last size that first reached the sum, and how many of it
-    used_n = np.zeros(top + 1, np.int64)
+    if not have.any():
+        return np.zeros(len(sizes), np.int64)
+    unit = int(np.gcd.reduce(sizes[have]))
+    goal, sizes = left / unit, sizes // unit
+    top = int(goal + min(goal, int(sizes[have].max()))) + 1  # no sum is nearer than 0 beyond twice the goal
+    used_by = np.full(top + 1, -1, np.int32)  # the last size that first reached the sum, and how many of it
+    used_n = np.zeros(top + 1, np.int32)
     reach = np.zeros(top + 1, bool)
     reach[0] = True
     for k in np.flatnonzero(have):
         s = int(sizes[k])
         if s > top:
             continue
-        n_here = np.where(reach, 0, -1)
+        n_here = np.where(reach, 0, -1).astype(np.int32)
         for step in range(min(int(spare[k]), top // s)):
             fresh = np.flatnonzero((n_here[: top + 1 - s] == step) & (n_here[s:] < 0)) + s
             if not len(fresh):
@@ -96,10 +111,10 @@ def _knapsack(sizes: np.ndarray, spare: np.ndarray, left: int) -> np.ndarray:
         new = np.flatnonzero(n_here > 0)
         used_by[new], used_n[new] = k, n_here[new]
         reach[new] = True
-        if reach[left]:
+        if left % unit == 0 and reach[left // unit]:
             break
     sums = np.flatnonzero(reach)
-    at = int(sums[np.argmin(np.abs(sums - left) * 2 + (sums > left))])
+    at = int(sums[np.lexsort((sums, np.abs(sums * unit - left)))[0]])
     out = np.zeros(len(sizes), np.int64)
     while at:
         k = used_by[at]
