@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", app: str = "varve", memory: str = "8g") -> SparkSession:
@@ -26,9 +28,11 @@ def local_session(cores: str = "8", app: str = "varve", memory: str = "8g") -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder every executor sees: spark.checkpoint.dir. Where it is unset, a folder of our own if the master is local; else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         found = f"file://{tempfile.gettempdir()}/varve-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -54,6 +58,11 @@ def stash(df: DataFrame, name: str = "stage") -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def few(df: DataFrame, most: int) -> DataFrame:
+    """df, marked for broadcast if it has at most ``most`` rows, which are counted. df: stashed or cheap to read twice."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         remove(spark, path)
