@@ -159,10 +159,21 @@ def test_components_of_near_copies(spark, n, percent):
     rows += [(1000 + i, passage + " " + " ".join(f"q{i}_{k}" for k in range(10 + i % 9))) for i in range(40)]  # about the limit
     ids = [i for i, _ in rows]
     want = closure({i: shingles(t, n) for i, t in rows}, ids, percent)
-    docs = spark.createDataFrame([*rows, (0 + rows[10][0], rows[10][1]), (None, "one two")], "id long, text string")
+    docs = spark.createDataFrame([(*r, 1, "x") for r in [*rows, (0 + rows[10][0], rows[10][1]), (None, "one two")]], "id long, text string, row long, doc string")
     got = jaccard.groups(docs, n, percent, cells=1 << 14).collect()
-    assert {r["id"]: r["component_id"] for r in got} == want and len(got) == len(ids)
-    assert {r["id"]: r["n_shingles"] for r in got} == {i: len(shingles(t, n)) for i, t in rows}
+    assert {r["id"]: r["component_id"] for r in got if r["id"] is not None} == want and len(got) == len(ids) + 2
+    assert {r["id"]: r["n_shingles"] for r in got if r["id"] is not None} == {i: len(shingles(t, n)) for i, t in rows}
+    assert [r["component_id"] for r in got if r["id"] is None] == [903]
+    assert sum(r["stays"] for r in got) == len(set(want.values()))
+
+
+def test_rows_of_one_id_keep_their_links(spark):
+    long = " ".join(f"w{i}" for i in range(3000)) + " " + "x" * 100_000
+    a, b = "a b c d e f", "u v w x y z"
+    rows = [(1, a), (2, a), (2, b), (3, b), (None, "null one two three"), (None, "null one two three"), (None, long), (9, long), (9, long), (7, ""), (7, None)]
+    got = jaccard.groups(spark.createDataFrame(rows, "id long, text string"), cells=1 << 14).collect()
+    assert sorted((str(r["id"]), str(r["component_id"])) for r in got) == sorted([("1", "1"), ("2", "1"), ("2", "2"), ("3", "2"), ("None", "None"), ("None", "None"), ("None", "9"), ("9", "9"), ("9", "9"), ("7", "7"), ("7", "7")])
+    assert sum(r["stays"] for r in got) == 6
 
 
 def test_join_of_nothing(spark):

@@ -14,9 +14,13 @@ turn tests every pair left that is not yet in one component. No link between com
 
 Hashes are taken for words and n-grams at 64 bits, as everywhere in this folder.
 
+Every row is a document: rows get a number of their own, which is written once with their signature, and
+the id is only what a result is called by.
+
 Defined results: a null or wordless text has an empty set and is linked with nothing; with fewer words than
-n the whole sequence is the only element; rows of one id count once (the row with the smallest hash);
-a null id is left out; an empty table gives no rows; extra columns are ignored.
+n the whole sequence is the only element; rows of one id are documents each, with their own texts and links;
+a row with a null id takes part, and its component is called by the smallest id in it (null if there is
+none); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from varve.llm.components import components
-from varve.session import remove, stash
+from varve.session import few, remove, stash
 
 NGRAM, PERCENT = 4, 85
 #: Cells of the frequency table, whose size bounds what is broadcast, and bands of the suffix filter.
@@ -39,7 +43,9 @@ CHUNK = 1 << 14
 #: Ids that a broadcast semi-join takes at most; beyond it the join is dealt by id.
 FEW = 1_000_000
 #: Entries of a worker's table of word hashes.
-WORDS_HELD = 250_000
+WORDS_HELD = 150_000
+#: Texts that a worker looks at in one go.
+ROWS = 256
 TURNS = 3
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -91,10 +97,10 @@ def _sketch(docs: DataFrame, n: int, cells: int) -> np.ndarray:
         held: list[np.ndarray] = []
         size = 0
         for b in batches:
-            for text in b.column(0).to_pylist():
-                held.append((element_set(text, n) % np.uint64(cells)).astype(np.int64))
+            for text in b.column(0):
+                held.append((element_set(text.as_py(), n) % np.uint64(cells)).astype(np.int32))
                 size += len(held[-1])
-                if size > 2_000_000:
+                if size > 500_000:
                     total += np.bincount(np.concatenate(held), minlength=cells)
                     held, size = [], 0
         if held:
@@ -129,53 +135,64 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(id, n, f1, f2, prefix array<long>, bands array<int>): set size, fingerprint, rare-first prefix, counts by band."""
+    """(row, doc, t, n, f1, f2, prefix array<long>, bands array<int>): number and id of the row, hash of its text, set size, fingerprint, rare-first prefix, counts by band.
+
+    row is made by the place in the frame: write the frame before it is used twice.
+    """
     spark, cells = docs.sparkSession, len(sketch)
     shared = spark.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = shared.value
-        for b in batches:
-            sizes, f1, f2, prefix, bands = [], [], [], [], []
-            for text in b.column(1).to_pylist():
-                s = element_set(text, n)
-                a, c = fingerprint(s)
-                sizes.append(len(s))
-                f1.append(a)
-                f2.append(c)
-                p = prefix_length(len(s), percent) if len(s) else 0
-                order = np.lexsort((s, freq[(s % np.uint64(cells)).astype(np.int64)]))[:p]
-                prefix.append(s[order].view(np.int64))
-                bands.append(np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=BANDS).astype(np.int32))
-            ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0), pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int32))),
-                ],
-                ["id", "n", "f1", "f2", "prefix", "bands"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                yield of(whole.slice(at, ROWS), freq)
         _WORDS.clear()
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, f1 long, f2 long, prefix array<long>, bands array<int>")
-
-
-def whole_sets(docs: DataFrame, ids: DataFrame, n: int, repeats: bool = False) -> DataFrame:
-    """(id, s binary) of the given ids: sorted 64-bit hashes; of repeated ids the set with the smallest fingerprint."""
+    def of(b: pa.RecordBatch, freq: np.ndarray) -> pa.RecordBatch:
+        sizes, f1, f2, prefix, bands = [], [], [], [], []
+        for text in b.column(2).to_pylist():
+            s = element_set(text, n)
+            a, c = fingerprint(s)
+            sizes.append(len(s))
+            f1.append(a)
+            f2.append(c)
+            p = prefix_length(len(s), percent) if len(s) else 0
+            order = np.lexsort((s, freq[(s % np.uint64(cells)).astype(np.int64)]))[:p]
+            prefix.append(s[order].view(np.int64))
+            bands.append(np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=BANDS).astype(np.int32))
+        ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [
+                b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int32))),
+            ],
+            ["doc", "t", "n", "f1", "f2", "prefix", "bands"],
+        )
+
+    kind = docs.schema["id"].dataType.simpleString()
+    out = docs.select("id", F.xxhash64("text"), "text").mapInArrow(run, f"doc {kind}, t long, n long, f1 long, f2 long, prefix array<long>, bands array<int>")
+    return out.withColumn("row", F.monotonically_increasing_id())
+
+
+def whole_sets(docs: DataFrame, heads: DataFrame, n: int) -> tuple[DataFrame, str]:
+    """(id, s binary) of heads (id, doc, t, f1): the sorted 64-bit hashes of the head's set. And where they are written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                sets = [element_set(t, n) for t in part.column(1).to_pylist()]
-                marks = [fingerprint(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([a for a, _ in marks], pa.int64()), pa.array([c for _, c in marks], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "f1", "f2", "s"])
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                sets = [element_set(t, n) for t in part.column(2).to_pylist()]
+                right = pa.array([fingerprint(s)[0] == f for s, f in zip(sets, part.column(1).to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "s"]).filter(right)
         _WORDS.clear()
 
-    few = F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids
-    out = docs.select("id", "text").join(few, "id", "left_semi").mapInArrow(run, "id long, f1 long, f2 long, s binary")
-    return out.groupBy("id").agg(F.min_by("s", F.struct("f1", "f2")).alias("s")) if repeats else out.select("id", "s")
+    own = few(heads.select(F.col("id").alias("_id"), "doc", "t", "f1"), FEW)
+    texts = docs.select("id", "text").join(own, F.col("id").eqNullSafe(F.col("doc")) & (F.xxhash64("text") == F.col("t"))).select("_id", "f1", "text")
+    out, path = stash(texts.mapInArrow(run, "id long, s binary"), "sets")
+    # rows that are equal in id and text give a set twice
+    return out if out.count() == heads.count() else out.dropDuplicates(["id"]), path
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -210,21 +227,24 @@ def _suffix(percent: int):
     return most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
 
 
-def links(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of docs (id, text).
+def links(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, cells: int = CELLS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, heads, links) of docs (id, text).
 
-    members: (id, n_shingles, rep), rep being the smallest id with the same set (its own where the set is
-    empty). links: (a, b) between representatives, enough of them for the components: every two that are
-    similar are in one component.
+    rows: (row, doc, t, n_shingles, rep), one for each row of docs, rep being the row that stands for its set
+    (itself where the set is empty). heads: (id, lead, doc), the rows that stand for a set that is not empty,
+    with the smallest id among the set's rows. links: (a, b) between heads, enough of them for the
+    components: every two that are similar are in one component.
     """
     spark = docs.sparkSession
-    docs = docs.where(F.col("id").isNotNull())
-    sig, _ = stash(signatures(docs, n, percent, _sketch(docs, n, cells)), "signatures")
-    one = sig.groupBy("id").agg(F.min(F.struct("f1", "f2", "n")).alias("k")).select("id", "k.*")
-    rep = one.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"))
-    members, _ = stash(one.join(rep, ["f1", "f2"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("rep")), F.col("id")).alias("rep"), "f1", "f2"), "members")
-    heads = members.where("id = rep and n_shingles > 0").select("id", "f1", "f2")
-    head_sig = sig.join(heads, ["id", "f1", "f2"], "left_semi").dropDuplicates(["id"])
+    sig, sig_path = stash(signatures(docs, n, percent, _sketch(docs, n, cells)), "signatures")
+    # one row for each distinct set: the first one, by id, a null id last
+    first = F.min(F.struct(F.col("doc").isNull().alias("no"), "doc", "row", "t")).alias("k")
+    some_sets = sig.where("n > 0").groupBy("f1", "f2").agg(first, F.min("doc").alias("lead"))
+    heads, _ = stash(some_sets.select("f1", "f2", F.col("k.row").alias("id"), F.col("k.doc").alias("doc"), F.col("k.t").alias("t"), "lead"), "heads")
+    rep = heads.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("id").alias("rep"))
+    right = (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") > 0)
+    members, _ = stash(sig.select("row", "doc", "t", "n", "f1", "f2").join(rep, right, "left").select("row", "doc", "t", F.col("n").alias("n_shingles"), F.coalesce("rep", "row").alias("rep")), "members")
+    head_sig = sig.withColumnRenamed("row", "id").join(heads.select("id"), "id", "left_semi")
     rows = head_sig.select("id", "n", F.posexplode("prefix").alias("pos", "e"))
     by = Window.partitionBy("e").orderBy("id")
     near = rows.withColumns({"p": F.lag("id").over(by), "q": F.lead("id").over(by)}).where("p is not null or q is not null")
@@ -234,10 +254,10 @@ def links(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, cells: int =
     live = near.join(mate, (F.col("e") == F.col("e1")) & (F.col("id") != F.col("id1")) & _may_link(percent, "n", "n1", "pos", "pos1"), "left_semi")
     shared, shared_path = stash(live, "shared")
     remove(spark, near_path)
-    bands = sig.select("id", "f1", "f2", "bands").join(heads, ["id", "f1", "f2"], "left_semi").select("id", "bands", F.aggregate("bands", F.lit(0).cast("long"), lambda t, x: t + x).alias("n")).dropDuplicates(["id"])
     need, need_path = stash(shared.select("id").distinct(), "need")
-    some, some_path = stash(bands.join(need, "id", "left_semi"), "bands")
-    sets, sets_path = stash(whole_sets(docs, need, n, members.count() != sig.count()), "sets")
+    some, some_path = stash(head_sig.select("id", "bands", "n").join(need, "id", "left_semi"), "bands")
+    remove(spark, sig_path)
+    sets, sets_path = whole_sets(docs, heads.join(need, "id", "left_semi"), n)
 
     def filtered(pairs: DataFrame) -> DataFrame:
         """a < b, once each, past the suffix filter."""
@@ -249,6 +269,7 @@ def links(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, cells: int =
     found: DataFrame | None = None
     label = need.select("id", F.col("id").alias("c"))
     tested: DataFrame | None = None
+    drop = [shared_path, need_path, some_path, sets_path]
     for turn in range(TURNS):
         if turn == 0:
             first = shared.withColumn("o", F.first(F.struct("id", "n", "pos")).over(by))
@@ -263,7 +284,8 @@ def links(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, cells: int =
         pairs = filtered(best(cand).select(F.col("id").alias("a"), F.col("mate").alias("b")))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs, _ = stash(pairs, "pairs")
+        pairs, pairs_path = stash(pairs, "pairs")
+        drop.append(pairs_path)
         tested = pairs if tested is None else tested.unionByName(pairs)
         good, _ = stash(verified(pairs, sets, percent), "good")
         if good.isEmpty():
@@ -271,7 +293,8 @@ def links(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, cells: int =
                 break
             continue
         found = good if found is None else found.unionByName(good)
-        comp, _ = stash(components(found), "components")
+        comp, comp_path = stash(components(found), "components")
+        drop.append(comp_path)
         label = need.join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("c"))
     mixed = _mixed(shared, label)
     x, y = mixed.select("e", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("c").alias("ca")), mixed.select("e", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("c").alias("cb"))
@@ -281,9 +304,9 @@ def links(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, cells: int =
     if tested is not None:
         rest = rest.join(tested, ["a", "b"], "left_anti")
     last, _ = stash(verified(rest, sets, percent), "good")
-    for path in (shared_path, need_path, some_path, sets_path):
+    for path in drop:
         remove(spark, path)
-    return members.drop("f1", "f2"), last if found is None else found.unionByName(last)
+    return members, heads.select("id", "lead", "doc"), last if found is None else found.unionByName(last)
 
 
 def _mixed(shared: DataFrame, label: DataFrame) -> DataFrame:
@@ -294,8 +317,21 @@ def _mixed(shared: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, cells: int = CELLS) -> DataFrame:
-    """(id, n_shingles, rep, component_id) of docs (id, text)."""
-    members, pairs = links(docs, n, percent, cells)
-    comp = components(pairs)
-    out = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select("id", "n_shingles", "rep", F.coalesce("component", "rep").alias("component_id"))
+    """(id, t, n_shingles, rep, component_id, stays) of docs (id, text), a row for each of docs'.
+
+    t: xxhash64 of the text. rep: a number that rows with equal sets share. component_id: the smallest id
+    that the row is linked with through any links. stays: true for one row of each component.
+    """
+    rows, heads, pairs = links(docs, n, percent, cells)
+    comp = heads.join(components(pairs).withColumnRenamed("id", "_c"), F.col("id") == F.col("_c"), "left").withColumn("c", F.coalesce("component", "id"))
+    # names by component, from one row for each set
+    best = F.min(F.struct(F.col("doc").isNull().alias("no"), "doc", "id"))
+    named = comp.groupBy("c").agg(F.min("lead").alias("name"), best["id"].alias("first"))
+    label, _ = stash(comp.select("id", "c").join(named, "c").select(F.col("id").alias("_rep"), "name", "first"), "labels")
+    out = rows.join(label, F.col("rep") == F.col("_rep"), "left")
+    linked = F.col("n_shingles") > 0
+    return out.select(
+        F.col("doc").alias("id"), "t", "n_shingles", "rep",
+        F.when(linked, F.col("name")).otherwise(F.col("doc")).alias("component_id"),
+        (~linked | (F.col("row") == F.col("first"))).alias("stays"),
+    )
