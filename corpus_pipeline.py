@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from varve.llm import jaccard, mixing, packing, pii, quality
 from varve.llm.queries import vocabulary_path
 from varve.llm.text import table, word_count
-from varve.session import stash
+from varve.session import few, stash
 
 #: Near copies: five words, similarity 0.8 or more.
 NGRAM, PERCENT = 5, 80
+#: Rows of ids and counts that are broadcast at most.
+FEW = 250_000
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,10 +26,18 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; rows without an id stay."""
-    found = jaccard.groups(docs.select(F.col("doc_id").alias("id"), "text"), NGRAM, PERCENT)
-    gone = found.where("id != component_id").select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies stays: the one with the smallest id. Documents without words stay."""
+    found, _ = stash(jaccard.groups(docs.select(F.col("doc_id").alias("id"), "text"), NGRAM, PERCENT).select("id", "t", "stays", (F.col("n_shingles") > 0).alias("some")), "groups")
+    mark = F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"))
+    by = found.groupBy(F.struct(F.col("id").alias("i"), "t").alias("k")).agg(F.max("stays").alias("stays"), F.max("some").alias("some"), F.count(F.lit(1)).alias("n"))
+    by, _ = stash(by, "marks")
+    kept = docs.select(F.struct(*docs.columns).alias("_row"), mark.alias("_k")).join(few(by.where("not stays").select("k"), FEW), F.col("_k").eqNullSafe(F.col("k")), "left_anti")
+    twice = by.where("stays and some and n > 1").select("k")
+    if twice.limit(1).count():  # rows that are equal in id and text: one of them
+        twice = few(twice, FEW)
+        again = kept.join(twice, F.col("_k").eqNullSafe(F.col("k")), "left_semi").dropDuplicates(["_k"])
+        kept = kept.join(twice, F.col("_k").eqNullSafe(F.col("k")), "left_anti").unionByName(again)
+    return kept.select("_row.*")
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,17 +48,16 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), F.xxhash64("text").alias("h"))
-    sized, _ = stash(slim, "mixing")
+    sized, _ = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), F.xxhash64("text").alias("h")), "mixing")
     taken = mixing.mix(sized, size=F.col("words")).where("taken > 0")
-    times = taken.groupBy("doc_id", "source", "h").agg(F.sum(F.expr("taken div size")).alias("times"))
+    key = lambda h: F.struct(F.col("doc_id").alias("i"), F.col("source").alias("s"), h.alias("h"))
     # repeated rows are one document that is taken as often as they were together
-    right = times.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("h").alias("_h"), "times")
-    once = docs.withColumn("_x", F.xxhash64("text"))
+    times, _ = stash(taken.groupBy(key(F.col("h")).alias("k")).agg(F.sum(F.expr("taken div size")).cast("int").alias("times")), "times")
+    once = docs.select(F.struct(*docs.columns).alias("_row"), key(F.xxhash64("text")).alias("_k"))
     if sized.groupBy("doc_id", "source", "h").count().where("count > 1").limit(1).count():
-        once = once.dropDuplicates(["doc_id", "source", "_x"])
-    joined = once.join(right, F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_x") == F.col("_h")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(docs.columns)
+        once = once.dropDuplicates(["_k"])
+    joined = once.join(few(times, FEW), F.col("_k").eqNullSafe(F.col("k")))
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), F.col("times")))).select("_row.*")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
