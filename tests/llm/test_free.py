@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -65,20 +66,59 @@ def test_gradients():
         assert (loss(h + step) - loss(h - step)) / 2e-5 == pytest.approx(dh[at], rel=1e-3, abs=1e-6)
 
 
+def test_gradients_through_time():
+    rng = np.random.default_rng(1)
+    words = [f"w{i}".encode() for i in range(1700)] + [lm.END]
+    voc = lm.Vocabulary(words, np.full(1701, 5), 1701 * 5, 1701, np.full(lm.TAILS, 500.0))
+    p = {k: v.astype(np.float64) for k, v in lm.start(voc).items()}
+    grid = np.array([[0, 3, 9, 3, 1550], [7, 0, 0, 1540, 8], [9, 9, 4, 0, 2], [5, 6, 7, 8, 9]])
+    x, y, h = grid[:-1], grid[1:], rng.standard_normal((5, lm.UNITS))
+    g, used, _ = lm.window(p, x, y, h)
+
+    def loss():
+        own, total = h, 0.0
+        for t in range(len(x)):
+            own = np.where((x[t] == 0)[:, None], 0, own)
+            own = lm._step(p, x[t], own)[-1]
+            total -= lm.output(p, own, y[t])[0].sum()
+        return total
+
+    assert used.tolist() == sorted(set(x.ravel().tolist()))
+    for name, at, got in [("rec", (3, 5), None), ("rec", (0, 20), None), ("rec", (7, 40), None), ("bias", (2,), None), ("bias", (18,), None), ("bias", (33,), None), ("cls", (4, 2), None), ("mem", (0, 3, 2), None)] + [("in", (w, c), g["in"][used.tolist().index(w), c]) for w in (0, 9, 1540) for c in (1, 17, 34)]:
+        keep, out = p[name][at], []
+        for step in (1e-5, -1e-5):
+            p[name][at] = keep + step
+            out.append(loss())
+        p[name][at] = keep
+        assert (out[0] - out[1]) / 2e-5 == pytest.approx(g[name][at] if got is None else got, rel=1e-3, abs=1e-6), (name, at)
+
+
+def looked_up(spark, df):
+    voc, _ = lm.vocabulary(lm.count(df))
+    return voc, lm.looked_up(df, spark.sparkContext.broadcast(voc))
+
+
 def test_every_training_document_trains_weights(spark, monkeypatch):
     monkeypatch.setattr(lm, "START_TOKENS", 0)  # the start learns from nothing
     rows = [(i, t) for i, t in small_corpus(400) if t and i]
-    df = spark.createDataFrame(rows, "id long, text string")
-    # what a sample of one in 16 by the text's hash leaves out
-    rest = df.where("pmod(xxhash64(text, 5), 16) != 0").coalesce(1)
-    voc, _ = lm.vocabulary(lm.count(rest))
-    got = lm.train(rest, spark.sparkContext.broadcast(voc), voc)
-    assert np.abs(got["cls"] - lm.start(voc)["cls"]).max() > 1e-3
-    # the weights are those of every token in one partition
+    voc, df = looked_up(spark, spark.createDataFrame(rows, "id long, text string"))
+    got = lm.train(df, voc)
+    # the weights are those of every token in one stream, in the order of the hashes
     p = lm.start(voc)
-    docs = [voc.model_ids(ws, voc.look(ws)) for ws in (lm.tokens(r["text"]) for r in rest.collect())]
+    docs = [np.frombuffer(r["ids"], "<u2") for r in df.select("ids", lm.F.xxhash64(lm.F.col("id").cast("string"), "ids", lm.F.lit(lm.SEED)).alias("h")).orderBy("h", "ids").collect()]
     seen = lm.learn(p, {k: np.zeros_like(v) for k, v in p.items()}, docs, wide=lm.WIDE)
-    assert seen == sum(map(len, docs)) and all(np.allclose(got[k], p[k], atol=1e-4) for k in p)
+    assert seen == sum(map(len, docs)) == voc.n and np.abs(got["cls"] - lm.start(voc)["cls"]).max() > 1e-3
+    assert all(np.allclose(got[k], p[k], atol=1e-4) for k in p)
+
+
+def test_layout_has_no_effect(spark, monkeypatch):
+    monkeypatch.setattr(lm, "STREAM", 2000)
+    monkeypatch.setattr(lm.train, "__defaults__", (2000,))
+    rows = [(*r, 7, "x") for r in small_corpus()] + [(9000, "z" * 200_000 + " y1" * 3000, 7, "x")]
+    df = spark.createDataFrame(rows, "id long, text string, n long, ids string")
+    one, many = (sorted((str(r["id"]), r["n_tokens"], r["score"], r["base_score"]) for r in lm.score(d).collect()) for d in (df.coalesce(1), df.repartition(8)))
+    assert [x[:2] for x in one] == [x[:2] for x in many]
+    assert all(a[2:] == pytest.approx(b[2:], abs=1e-9) for a, b in zip(one, many, strict=True))
 
 
 def test_scores_of_nothing(spark):
@@ -221,9 +261,26 @@ def test_packing_round_trip(spark):
 
 def test_the_word_table_may_run_over():
     path = public_tokenizers.path(packing.VOCABULARY)
-    small, large = packing.Encoder(path, limit=3), packing.Encoder(path)
+    small, large = packing.Encoder(path, 600, 600), packing.Encoder(path)
     texts = [f"alpha beta{i} gamma{i % 3} é{i}" for i in range(20)]
     assert [small.encode([t])[0] for t in texts] == large.encode(texts)
+    assert small.words.old and len(small.words.young) < 10
+    small.forget()
+    assert small.encode(texts) == large.encode(texts)
+
+
+def test_idle_tables_are_released():
+    from varve.llm.workers import Idle
+
+    gone = []
+    idle = Idle(lambda: gone.append(1), 0.05)
+    with idle:
+        with idle:
+            pass
+        time.sleep(0.15)
+        assert not gone
+    time.sleep(0.3)
+    assert gone == [1]
 
 
 def test_buckets(spark, tmp_path):

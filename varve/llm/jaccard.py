@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from varve.llm.components import components
+from varve.llm.workers import tidy
 from varve.session import few, remove, stash
 
 NGRAM, PERCENT = 4, 85
@@ -69,6 +70,12 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.array(got, np.uint64)
 
 
+def _done() -> None:
+    """The end of a task."""
+    _WORDS.clear()
+    tidy()
+
+
 def element_set(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of a text's n-grams, A-Z lower-cased."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -105,8 +112,8 @@ def _sketch(docs: DataFrame, n: int, cells: int) -> np.ndarray:
                     held, size = [], 0
         if held:
             total += np.bincount(np.concatenate(held), minlength=cells)
-        _WORDS.clear()
         yield from rows(total)
+        _done()
 
     def rows(total: np.ndarray) -> Iterator[pa.RecordBatch]:
         parts = [k for k in range(cells // chunk) if total[k * chunk : (k + 1) * chunk].any()]
@@ -147,7 +154,7 @@ def signatures(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> Dat
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 yield of(whole.slice(at, ROWS), freq)
-        _WORDS.clear()
+        _done()
 
     def of(b: pa.RecordBatch, freq: np.ndarray) -> pa.RecordBatch:
         sizes, f1, f2, prefix, bands = [], [], [], [], []
@@ -186,7 +193,7 @@ def whole_sets(docs: DataFrame, heads: DataFrame, n: int) -> tuple[DataFrame, st
                 sets = [element_set(t, n) for t in part.column(2).to_pylist()]
                 right = pa.array([fingerprint(s)[0] == f for s, f in zip(sets, part.column(1).to_pylist(), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "s"]).filter(right)
-        _WORDS.clear()
+        _done()
 
     own = few(heads.select(F.col("id").alias("_id"), "doc", "t", "f1"), FEW)
     texts = docs.select("id", "text").join(own, F.col("id").eqNullSafe(F.col("doc")) & (F.xxhash64("text") == F.col("t"))).select("_id", "f1", "text")

@@ -11,10 +11,13 @@ token is a class of its own; any other word is in one of ``TAILS`` classes by it
 which its probability is its smoothed share of the class's count. Each class of rest words keeps 0.1 for an
 unknown word, so the model is a distribution.
 
+A text is looked up once: its model ids are written as 16-bit numbers, and training and scoring read those.
+
 Training is truncated backpropagation through windows of ``WINDOW`` tokens: first in one task over a
-sample of about ``START_TOKENS`` tokens, then in every partition over all of its training documents, from
-the same start; weights are averaged by tokens in a tree. So every token of every training document is
-counted and trains weights; the start only gives the partitions a common point to leave from.
+sample of about ``START_TOKENS`` tokens, then over all training documents, dealt by hash to streams of about
+``STREAM`` tokens, each from the same start; weights are averaged by tokens in a tree of fixed order. So every
+token of every training document is counted and trains weights, and neither the layout of the files nor
+the number of tasks has an effect; the start only gives the streams a common point to leave from.
 
 Defined results: a null text is the empty text (the end token alone); a null id counts as the empty text
 in the split; repeated rows are scored each; an empty table gives no rows; without training documents
@@ -34,19 +37,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varve.llm.workers import tidy
 from varve.session import stash
 
 HEAD = 1 << 18
 CLASSES, MEMBERS, TAILS, UNITS = 48, 32, 16, 16
 WINDOW, LANES, RATE = 32, 64, 0.1
-#: Lanes of a partition's training, which has more documents than the start.
+#: Lanes of a stream's training, which has more documents than the start.
 WIDE = 256
-START_TOKENS, SEED = 300_000, 4
+START_TOKENS, STREAM, SEED = 300_000, 2_000_000, 4
 SMOOTH = 0.1
 END = b"\n"
 FLUSH = 400_000
-#: Tokens that a scoring task holds at a time, and documents scored in step.
-HELD, STEP = 3_000_000, 1024
+#: Tokens that a scoring or training task holds at a time, documents scored in step, and rows looked up at a time.
+HELD, TRAINED, STEP, ROWS = 3_000_000, 500_000, 1024, 512
+#: Weights that a task averages.
+FAN = 32
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -124,8 +130,8 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[Vocabulary, int]:
         room, least = room - k, c
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     mass = np.zeros(TAILS)
-    for k, m in counts.where(F.col("w") != F.lit(bytearray(END))).groupBy(tail).agg(F.sum(F.col("c") + SMOOTH)).collect():
-        mass[k] = m
+    for k, m, many_of in counts.where(F.col("w") != F.lit(bytearray(END))).groupBy(tail).agg(F.sum("c"), F.count(F.lit(1))).collect():
+        mass[k] = m + SMOOTH * many_of
     top = counts.where((F.col("c") >= least) | (F.col("w") == F.lit(bytearray(END)))).toArrow().sort_by([("c", "descending"), ("w", "ascending")])
     return Vocabulary(top.column(0).to_pylist(), top.column(1).to_numpy(), n, v, mass), least
 
@@ -222,53 +228,89 @@ def _rows(at: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[order][cut], np.add.reduceat(d[order], cut, axis=0)
 
 
+def window(p: dict, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+    """One window of tokens by lanes: gradients of the loss, the words that ``in`` has them for, and the state behind it."""
+    steps, lanes = y.shape
+    g = {k: np.zeros_like(v) for k, v in p.items() if k != "in"}
+    fresh = x == 0  # a document begins behind an end
+    any_fresh = fresh.any(1).tolist()
+    kind = p["rec"].dtype
+    a = p["in"][x]
+    a += p["bias"]
+    rec, (begin, states) = p["rec"], np.empty((2, steps, lanes, UNITS), kind)  # what a step begins and ends with
+    gates, kept = np.empty((steps, lanes, 2 * UNITS), kind), np.empty((2, steps, lanes, UNITS), kind)
+    for t in range(steps):
+        begin[t] = states[t - 1] if t else h
+        if any_fresh[t]:
+            begin[t][fresh[t]] = 0
+        r = begin[t] @ rec
+        s = gates[t]
+        np.add(a[t, :, : 2 * UNITS], r[:, : 2 * UNITS], out=s)
+        _sigmoid_in(s)
+        c, n = r[:, 2 * UNITS :], kept[1, t]
+        kept[0, t] = c
+        np.multiply(s[:, UNITS:], c, out=n)
+        n += a[t, :, 2 * UNITS :]
+        np.tanh(n, out=n)
+        new = states[t]
+        np.subtract(begin[t], n, out=new)
+        new *= s[:, :UNITS]
+        new += n
+    _, dh_all = output(p, states.reshape(-1, UNITS), y.ravel(), g)
+    dh_all = dh_all.reshape(steps, lanes, UNITS)
+    # what doesn't depend on the state's gradient, for all steps at once
+    z, q, (c, n) = gates[:, :, :UNITS], gates[:, :, UNITS:], kept
+    to_z, to_n, to_q = (begin - n) * (z * (1 - z)), (1 - z) * (1 - n * n), c * (q * (1 - q))
+    back, turned = np.zeros((lanes, UNITS), kind), np.ascontiguousarray(rec.T)
+    d_in, d_rec = np.empty((steps, lanes, 3 * UNITS), kind), np.empty((lanes, 3 * UNITS), kind)
+    for t in range(steps - 1, -1, -1):
+        dh = dh_all[t] + back
+        d = d_in[t]
+        dn = d[:, 2 * UNITS :]
+        np.multiply(dh, to_n[t], out=dn)
+        np.multiply(dh, to_z[t], out=d[:, :UNITS])
+        np.multiply(dn, to_q[t], out=d[:, UNITS : 2 * UNITS])
+        d_rec[:, : 2 * UNITS] = d[:, : 2 * UNITS]
+        np.multiply(dn, q[t], out=d_rec[:, 2 * UNITS :])
+        dh *= z[t]
+        back = d_rec @ turned
+        back += dh
+        if any_fresh[t]:
+            back[fresh[t]] = 0
+    flat = d_in.reshape(-1, 3 * UNITS)
+    g["bias"] += flat.sum(0)
+    g["rec"][:, : 2 * UNITS] += begin.reshape(-1, UNITS).T @ flat[:, : 2 * UNITS]
+    g["rec"][:, 2 * UNITS :] += begin.reshape(-1, UNITS).T @ (flat[:, 2 * UNITS :] * q.reshape(-1, UNITS))
+    # words that are not in the window have no gradient
+    used, g["in"] = _rows(x.ravel(), flat)
+    return g, used, states[-1]
+
+
+def _sigmoid_in(x: np.ndarray) -> None:
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+
+
 def learn(p: dict, squares: dict, docs: list[np.ndarray], passes: int = 1, rate: float = RATE, wide: int = LANES) -> int:
     """Truncated backpropagation over documents laid end to end in lanes; Adagrad. Returns the tokens seen: all, each pass."""
-    stream = np.concatenate(docs) if docs else np.zeros(0, np.int32)
+    stream = np.concatenate(docs).astype(np.int32) if docs else np.zeros(0, np.int32)
     lanes = max(1, min(wide, len(stream) // WINDOW))
     length = len(stream) // lanes
     if not length:
         return 0
-    grid = stream[: lanes * length].reshape(lanes, length)
+    grid = np.ascontiguousarray(stream[: lanes * length].reshape(lanes, length).T)
+    before = np.concatenate((np.zeros((1, lanes), grid.dtype), grid[:-1]))
     for _ in range(passes):
         h = np.zeros((lanes, UNITS), np.float32)
         for at in range(0, length, WINDOW):
-            y = grid[:, at : at + WINDOW].T
-            x = np.concatenate((grid[:, at - 1][None] if at else np.zeros((1, lanes), y.dtype), y[:-1]))
-            g = {k: np.zeros_like(v) for k, v in p.items() if k != "in"}
-            fresh = (x == 0)[:, :, None]  # a document begins behind an end
-            a = p["in"][x] + p["bias"]
-            kept, states = [], np.empty((len(y), lanes, UNITS), np.float32)
-            for t in range(len(y)):
-                h = np.where(fresh[t], np.float32(0), h)
-                z, q, c, n, new = _gates(p, a[t], h)
-                kept.append((h, z, q, c, n))
-                h = states[t] = new
-            _, dh_all = output(p, states.reshape(-1, UNITS), y.ravel(), g)
-            dh_all = dh_all.reshape(len(y), lanes, UNITS)
-            back, rec = np.zeros_like(h), np.ascontiguousarray(p["rec"].T)
-            d_in, d_rec = np.empty((2, len(y), lanes, 3 * UNITS), np.float32)
-            for t in range(len(y) - 1, -1, -1):
-                h0, z, q, c, n = kept[t]
-                dh = dh_all[t] + back
-                dn = dh * (1 - z) * (1 - n * n)
-                d = d_in[t]
-                d[:, :UNITS] = dh * (h0 - n) * z * (1 - z)
-                d[:, UNITS : 2 * UNITS] = dn * c * q * (1 - q)
-                d[:, 2 * UNITS :] = dn
-                d_rec[t, :, : 2 * UNITS] = d[:, : 2 * UNITS]
-                d_rec[t, :, 2 * UNITS :] = dn * q
-                back = np.where(fresh[t], np.float32(0), dh * z + d_rec[t] @ rec)
-            flat = d_in.reshape(-1, 3 * UNITS)
-            g["bias"] += flat.sum(0)
-            g["rec"] += np.concatenate([k[0] for k in kept]).T @ d_rec.reshape(-1, 3 * UNITS)
-            # words that are not in the window have no gradient
-            used, g["in"] = _rows(x.ravel(), flat)
+            g, used, h = window(p, before[at : at + WINDOW], grid[at : at + WINDOW], h)
             for k in p:
-                rows = used if k == "in" else slice(None)
-                np.clip(g[k], -50, 50, out=g[k])
-                squares[k][rows] += g[k] * g[k]
-                p[k][rows] -= (rate * g[k] / np.sqrt(squares[k][rows] + 1e-2)).astype(np.float32)
+                rows, d = used if k == "in" else slice(None), g[k]
+                np.clip(d, -50, 50, out=d)
+                squares[k][rows] += d * d
+                p[k][rows] -= (rate * d / np.sqrt(squares[k][rows] + 1e-2)).astype(np.float32)
     # the last tokens, fewer than lanes, in fewer lanes
     rest = stream[lanes * length :]
     return lanes * length * passes + (learn(p, squares, [rest], passes, rate, wide) if len(rest) else 0)
@@ -279,7 +321,7 @@ def score_ids(p: dict, docs: list[np.ndarray]) -> np.ndarray:
     total = np.zeros(len(docs))
     order = sorted(range(len(docs)), key=lambda k: -len(docs[k]))
     for a in range(0, len(order), STEP):
-        part = order[a : a + STEP]
+        part = np.array(order[a : a + STEP])
         size = np.array([len(docs[k]) for k in part])
         h, prev = np.zeros((len(part), UNITS), np.float32), np.zeros(len(part), np.int32)
         for at in range(0, size[0], WINDOW):
@@ -301,15 +343,56 @@ def score_ids(p: dict, docs: list[np.ndarray]) -> np.ndarray:
                 who.append(n)
             lp, _ = output(p, np.concatenate(hs), np.concatenate(ys))
             row = np.concatenate([np.arange(n) for n in who])
-            np.add.at(total, np.array(part)[row], lp.astype(float))
+            total[part[:live]] += np.bincount(row, lp.astype(float), live)
     return total
 
 
-def train(training: DataFrame, voc, counted: Vocabulary) -> dict[str, np.ndarray]:
-    """Weights: a start in one task over a bounded sample, then the average of what every partition makes of it."""
+def looked_up(docs: DataFrame, voc) -> DataFrame:
+    """(id, n, known, base, tail_base, ids binary, tail, tail_n) of docs (id, text): what scoring needs of the text.
+
+    ids: model ids as little-endian unsigned 16-bit numbers. base and tail_base: logarithms of the head
+    tokens' smoothed counts, and those of them that are in rest classes, less the class's. tail: the other words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = voc.value
+        log_c, log_m = np.log10(v.counts + SMOOTH), np.log10(v.mass)
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                yield of(b.slice(at, ROWS), v, log_c, log_m)
+
+    def of(part: pa.RecordBatch, v: Vocabulary, log_c: np.ndarray, log_m: np.ndarray) -> pa.RecordBatch:
+        split = [tokens(t) for t in part.column(1).to_pylist()]
+        size = np.array([len(ws) for ws in split], np.int64)
+        flat = list(itertools.chain.from_iterable(split))
+        at, row = v.look(flat), np.repeat(np.arange(len(split)), size)
+        ids = v.model_ids(flat, at)
+        head = at >= 0
+        logs = np.where(head, log_c[np.maximum(at, 0)], 0.0) if len(log_c) else np.zeros(len(at))
+        rest = ids > CLASSES * MEMBERS
+        share = np.where(rest, np.where(head, logs, 0.0) - log_m[np.where(rest, ids - 1 - CLASSES * MEMBERS, 0)], 0.0)
+        sums = lambda x: pa.array(np.bincount(row, x, len(split)))
+        ends = np.cumsum(size)
+        raw = ids.astype("<u2")
+        tails = [Counter() for _ in split]
+        for k in np.flatnonzero(~head).tolist():
+            tails[row[k]][flat[k]] += 1
+        cols = [
+            part.column(0), pa.array(size), pa.array(np.bincount(row, head, len(split)).astype(np.int64)), sums(logs), sums(share),
+            pa.array([raw[e - n : e].tobytes() for e, n in zip(ends, size, strict=True)], pa.binary()),
+            pa.array([list(c) for c in tails], pa.list_(pa.binary())), pa.array([list(c.values()) for c in tails], pa.list_(pa.int64())),
+        ]
+        return pa.RecordBatch.from_arrays(cols, ["id", "n", "known", "base", "tail_base", "ids", "tail", "tail_n"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n long, known long, base double, tail_base double, ids binary, tail array<binary>, tail_n array<long>")
+
+
+def train(training: DataFrame, counted: Vocabulary, most: int = STREAM) -> dict[str, np.ndarray]:
+    """Weights from looked-up training documents (id, ids): a start in one task over a bounded sample, then the average of what every stream makes of it."""
     spark = training.sparkSession
     share = min(1.0, START_TOKENS / max(1, counted.n))
-    pick = F.pmod(F.xxhash64(F.col("id").cast("string"), "text", F.lit(SEED)), F.lit(1 << 20))  # copies of a text apart
+    keyed = training.select(F.xxhash64(F.col("id").cast("string"), "ids", F.lit(SEED)).alias("h"), "ids")  # copies of a text apart
     p = start(counted)
     squares = {k: np.zeros_like(v) for k, v in p.items()}
     names = list(p)
@@ -325,109 +408,107 @@ def train(training: DataFrame, voc, counted: Vocabulary) -> dict[str, np.ndarray
         return out
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, own, own_sq = voc.value, {k: x.copy() for k, x in p.items()}, {k: x.copy() for k, x in squares.items()}
-        texts = sorted(t or "" for b in batches for t in b.column(0).to_pylist())  # the shuffle's order is none
-        learn(own, own_sq, [(lambda ws: v.model_ids(ws, v.look(ws)))(tokens(t)) for t in texts], passes=3)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([raw(own) + raw(own_sq)], pa.binary())], ["n", "w"])
+        own, own_sq = {k: x.copy() for k, x in p.items()}, {k: x.copy() for k, x in squares.items()}
+        docs = sorted((h, ids) for b in batches for h, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))  # the shuffle's order is none
+        learn(own, own_sq, [np.frombuffer(ids, "<u2") for _, ids in docs], passes=3)
+        yield pa.RecordBatch.from_arrays([pa.array([raw(own) + raw(own_sq)], pa.binary())], ["w"])
 
-    sample = training.where(pick < int(share * (1 << 20)) + 1).select("id", "text").distinct().select("text").repartition(1)
-    for r in sample.mapInArrow(begin, "n long, w binary").collect():
+    below = F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40))
+    for r in keyed.where(below).distinct().repartition(1).mapInArrow(begin, "w binary").collect():
         p, squares = weights_of(r["w"][: len(r["w"]) // 2]), weights_of(r["w"][len(r["w"]) // 2 :])
     shared = spark.sparkContext.broadcast((p, squares))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, (first, sq) = voc.value, shared.value
-        own, own_sq = {k: x.copy() for k, x in first.items()}, {k: x.copy() for k, x in sq.items()}
-        seen, held, size = 0, [], 0
+        """Rows sorted by stream: each is learnt from the same start."""
+        first, sq = shared.value
+        stream, seen, held, size, own, own_sq = None, 0, [], 0, {}, {}
+
+        def end() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([stream], pa.int64()), pa.array([seen], pa.int64()), pa.array([raw(own)], pa.binary())], ["at", "n", "w"])
+
         for b in batches:
-            for t in b.column(0).to_pylist():
-                ws = tokens(t)
-                held.append(v.model_ids(ws, v.look(ws)))
-                size += len(ws)
-                if size > 500_000:
+            for at, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if at != stream or size > TRAINED:
                     seen += learn(own, own_sq, held, wide=WIDE)
                     held, size = [], 0
+                if at != stream:
+                    if seen:
+                        yield end()
+                    stream, seen = at, 0
+                    own, own_sq = {k: x.copy() for k, x in first.items()}, {k: x.copy() for k, x in sq.items()}
+                held.append(np.frombuffer(ids, "<u2"))
+                size += len(held[-1])
         seen += learn(own, own_sq, held, wide=WIDE)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([raw(own)], pa.binary())], ["n", "w"])
+            yield end()
 
-    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mean(t: pa.Table) -> pa.Table:
         n, total = 0, 0.0
-        for b in batches:
-            for k, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n, total = n + k, total + k * np.frombuffer(w)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).tobytes()], pa.binary())], ["n", "w"])
-
-    part = training.select("text").mapInArrow(run, "n long, w binary")
-    width = part.rdd.getNumPartitions()
-    while width > 32:
-        width = -(-width // 32)
-        part = part.repartition(width).mapInArrow(mean, "n long, w binary")
-    got = part.repartition(1).mapInArrow(mean, "n long, w binary").collect()
+        t = t.sort_by("at")
+        for k, w in zip(t.column("n").to_pylist(), t.column("w").to_pylist(), strict=True):
+            n, total = n + k, total + k * np.frombuffer(w)
+        return pa.table({"at": pa.array([t.column("at")[0].as_py() // FAN], pa.int64()), "n": pa.array([n], pa.int64()), "w": pa.array([(total / n).tobytes()], pa.binary())})
+
+    streams = max(1, -(-counted.n // most))
+    dealt = keyed.withColumn("at", F.pmod("h", F.lit(streams)))
+    by = min(streams, 8 * spark.sparkContext.defaultParallelism) if streams <= 1 << 16 else 1 << 16
+    # a stream has its documents in the order of their hashes, wherever they come from
+    part = dealt.repartition(by, "at").sortWithinPartitions("at", "h", "ids").select("at", "ids").mapInArrow(run, "at long, n long, w binary")
+    while streams > 1:
+        part = part.groupBy(F.floor(F.col("at") / FAN).alias("_g")).applyInArrow(mean, "at long, n long, w binary")
+        streams = -(-streams // FAN)
+    got = part.collect()  # one row
+    shared.unpersist()
     return weights_of(got[0]["w"]) if got else p
 
 
-def _scored(docs: DataFrame, voc, weights) -> DataFrame:
-    """(id, n, known, base, model, tail, tail_n): sums over head tokens, and the other words with their numbers."""
+def _scored(rows: DataFrame, weights) -> DataFrame:
+    """rows (row, ids) with the logarithm of class and member probabilities: (row, model)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, p = voc.value, weights.value
-        log_c, log_m = np.log10(v.counts + SMOOTH), np.log10(v.mass)
-        ids, rows, seqs, size = [], [], [], 0
+        p = weights.value
+        at, seqs, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            model = score_ids(p, seqs) / math.log(10)
-            for r, s, m in zip(rows, seqs, model, strict=True):
-                rest = s[s > CLASSES * MEMBERS] - 1 - CLASSES * MEMBERS
-                r[3] += m - log_m[rest].sum()
-            cols = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(ids, id_type), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "n", "known", "base", "model", "tail", "tail_n"])
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(score_ids(p, seqs) / math.log(10), pa.float64())], ["row", "model"])
 
         for b in batches:
-            id_type = b.schema.field(0).type
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ws = tokens(text)
-                at = v.look(ws)
-                head = at >= 0
-                logs = log_c[at[head]]
-                s = v.model_ids(ws, at)
-                inner = s[head] > CLASSES * MEMBERS
-                tail = Counter(ws[j] for j in np.flatnonzero(~head))
-                ids.append(k)
-                seqs.append(s)
-                rows.append([len(ws), int(head.sum()), float(logs.sum()), float(logs[inner].sum()), list(tail.keys()), list(tail.values())])
-                size += len(ws)
+            for k, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at.append(k)
+                seqs.append(np.frombuffer(ids, "<u2").astype(np.int32))
+                size += len(seqs[-1])
                 if size > HELD:
                     yield flush()
-                    ids, rows, seqs, size = [], [], [], 0
-        if ids:
+                    at, seqs, size = [], [], 0
+        if at:
             yield flush()
+        tidy()
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n long, known long, base double, model double, tail array<binary>, tail_n array<long>")
+    return rows.select("row", "ids").mapInArrow(run, "row long, model double")
 
 
 def score(docs: DataFrame) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs (id, text); scores are log10 of probabilities."""
     spark = docs.sparkSession
-    training = docs.where(split_of(F.col("id")) != 0)
-    counts, _ = stash(count(training), "counts")
+    counts, _ = stash(count(docs.where(split_of(F.col("id")) != 0)), "counts")
     voc, least = vocabulary(counts)
     shared = spark.sparkContext.broadcast(voc)
-    weights = spark.sparkContext.broadcast(train(training, shared, voc))
-    rows, _ = stash(_scored(docs, shared, weights).withColumn("row", F.monotonically_increasing_id()), "scored")
+    rows, _ = stash(looked_up(docs, shared).withColumn("row", F.monotonically_increasing_id()), "looked-up")
+    shared.destroy()
+    weights = spark.sparkContext.broadcast(train(rows.where(split_of(F.col("id")) != 0), voc))
+    model, _ = stash(_scored(rows, weights), "scored")
+    weights.destroy()
     rest = rows.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("w"), F.col("t.tail_n").alias("k"))
     rest = rest.join(counts.where(F.col("c") < least), "w", "left")
     sums = rest.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("more"), F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))).alias("logs"))
     more, logs = F.coalesce("more", F.lit(0)), F.coalesce("logs", F.lit(0.0))
     level = math.log10(voc.n + SMOOTH * (voc.v + 1))
-    return rows.drop("tail", "tail_n").join(sums, "row", "left").select(
+    return rows.drop("tail", "tail_n", "ids").join(model, "row").join(sums, "row", "left").select(
         "id",
         (split_of(F.col("id")) == 0).alias("held_out"),
         F.col("n").alias("n_tokens"),
         (F.col("known") + more).cast("long").alias("n_known"),
         F.lit(int(voc.n)).cast("long").alias("train_tokens"),
         (F.col("base") + logs - F.col("n") * F.lit(level)).alias("base_score"),
-        (F.col("model") + logs).alias("score"),
+        (F.col("model") + F.col("tail_base") + logs).alias("score"),
     )

@@ -5,8 +5,9 @@ of the largest length as fit, then the binary digits of the rest, large to small
 form a bucket, and each piece is a training sequence by itself: no sequence crosses documents and nothing
 is padded, since every length is a power of two. The work is one pass over the documents without a shuffle.
 
-Words between ASCII white space are tokenised once and kept in a bounded table in each Python worker: this
-vocabulary's rules never look across white space. Words of plain Latin letters, digits and signs are cut
+Words between ASCII white space are tokenised once and kept in a table in each Python worker, of bounded
+bytes and in two generations, so that words in use outlive it when it is full: this vocabulary's rules
+never look across white space. Words of plain Latin letters, digits and signs are cut
 into the tokenizer's own parts first, so that a word with and without signs is learnt once.
 
 Defined results: a null text is the empty text (one piece, the end id alone); repeated rows are packed
@@ -23,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varve.llm.workers import Idle
+
 LONGEST = 2048
 END = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Entries of a worker's table of words, and rows that are looked up at a time.
-CACHE, ROWS = 500_000, 256
+#: Bytes of one generation of a worker's tables of words and of their parts, what an entry costs beside its own bytes, and rows that are looked up at a time.
+CACHE, PARTS, ENTRY, ROWS = 40 << 20, 24 << 20, 160, 256
 
 _PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+").fullmatch
 # how this vocabulary's file cuts lower-case Latin text into parts
@@ -37,15 +40,21 @@ _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, words remembered."""
 
-    def __init__(self, path: str, limit: int = CACHE):
+    def __init__(self, path: str, limit: int = CACHE, parts: int = PARTS):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.limit, self.words, self.parts = limit, {}, {}
+        self.words, self.parts = Table(limit), Table(parts)
+        self.idle = Idle(self.forget)
         # a sign that is its own token and part, set between words so that many are encoded in one call
         self.gap = self.t.encode("\x00", add_special_tokens=False).ids
 
-    def _learn(self, names: list[str], table: dict) -> None:
+    def forget(self) -> None:
+        self.words.clear()
+        self.parts.clear()
+
+    def _learn(self, names: list[str]) -> dict[str, bytes]:
+        table: dict[str, bytes] = {}
         odd = [x for x in names if "\x00" in x or "<|" in x] if len(self.gap) == 1 else names
         for x in odd:
             table[x] = np.array(self.t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
@@ -59,37 +68,62 @@ class Encoder:
             if len(ends) != len(part):
                 raise ValueError("the vocabulary doesn't keep words apart")
             table.update(zip(part, (raw[a:b] for a, b in zip([0, *(x + 4 for x in ends)], ends)), strict=True))
+        return table
 
-    def _add(self, missing: list[bytes]) -> None:
-        if len(self.words) > self.limit:
-            self.words.clear()
-        if len(self.parts) > self.limit:
-            self.parts.clear()
+    def _new(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that the table lacks."""
         text = [m.decode() for m in missing]
         cut = [_PARTS(x.lower()) if _PLAIN(x) and "<|" not in x else (x,) for x in text]
-        self._learn(list({p for ps in cut for p in ps if p not in self.parts}), self.parts)
-        of = self.parts.__getitem__
-        self.words.update((m, of(ps[0]) if len(ps) == 1 else b"".join(map(of, ps))) for m, ps in zip(missing, cut, strict=True))
+        of = self.parts.find({p for ps in cut for p in ps}, self._learn)
+        return {m: of[ps[0]] if len(ps) == 1 else b"".join(map(of.__getitem__, ps)) for m, ps in zip(missing, cut, strict=True)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [(x or "").encode().split() for x in texts]
-        rows = [list(map(self.words.get, ws)) for ws in split]
+        get = self.words.young.get
+        rows = [list(map(get, ws)) for ws in split]
         lacking = [k for k, row in enumerate(rows) if None in row]
         if lacking:
-            missing = {w for k in lacking for w, v in zip(split[k], rows[k], strict=True) if v is None}
-            if len(self.words) > self.limit:
-                missing = {w for k in lacking for w in split[k]}
-            self._add(list(missing))
+            got = self.words.find({w for k in lacking for w, v in zip(split[k], rows[k], strict=True) if v is None}, self._new)
             for k in lacking:
-                rows[k] = list(map(self.words.__getitem__, split[k]))
+                again = list(map(get, split[k]))
+                # what became old just now is neither young nor new
+                rows[k] = again if None not in again else [got.get(w, v) for w, v in zip(split[k], rows[k], strict=True)]
         return [b"".join(row) for row in rows]
 
 
+class Table:
+    """A table of bounded bytes: when the young half is full it becomes the old half, and what is asked for again becomes young."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old, self.size = limit, {}, {}, 0
+
+    def clear(self) -> None:
+        self.young.clear()
+        self.old, self.size = {}, 0
+
+    def find(self, names: set, make) -> dict:
+        """Has at least the values of names; those that are in neither half come from make(list of names)."""
+        rest = names.difference(self.young)
+        held = rest.intersection(self.old)
+        more = make(list(rest - held if held else rest))
+        if held:
+            more.update(zip(held, map(self.old.__getitem__, held), strict=True))
+        size = ENTRY * len(more) + sum(map(len, more)) + sum(map(len, more.values()))
+        got = more if len(rest) == len(names) else {**dict(zip(names, map(self.young.get, names), strict=True)), **more}
+        if self.size > self.limit:
+            # cleared in place: callers hold the young half's own lookup
+            self.old, self.size = dict(self.young), 0
+            self.young.clear()
+        self.young.update(more)
+        self.size += size
+        return got
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One for each Python worker: its table serves all tasks of the worker."""
+    """One for each Python worker: its tables serve all tasks of the worker, and are emptied when it has none."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -119,20 +153,23 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", lo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                part = b.slice(at, ROWS)
-                raw = [x + tail for x in e.encode(part.column(1).to_pylist())]
-                cut = [pieces(len(x) // 4, longest) for x in raw]
-                rows = np.repeat(np.arange(len(raw)), [len(c) for c in cut])
-                start = [s for c in cut for s, _ in c]
-                length = [n for c in cut for _, n in c]
-                ids = [raw[r][4 * s : 4 * (s + n)] for r, s, n in zip(rows, start, length, strict=True)]
-                total = np.array([len(x) // 4 for x in raw], np.int64)[rows]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(total)],
-                    ["doc_id", "start", "length", "ids", "doc_tokens"],
-                )
+        with e.idle:
+            for b in batches:
+                for at in range(0, b.num_rows, ROWS):
+                    yield of(b.slice(at, ROWS), e)
+
+    def of(part: pa.RecordBatch, e: Encoder) -> pa.RecordBatch:
+        raw = [x + tail for x in e.encode(part.column(1).to_pylist())]
+        cut = [pieces(len(x) // 4, longest) for x in raw]
+        rows = np.repeat(np.arange(len(raw)), [len(c) for c in cut])
+        start = [s for c in cut for s, _ in c]
+        length = [n for c in cut for _, n in c]
+        ids = [raw[r][4 * s : 4 * (s + n)] for r, s, n in zip(rows, start, length, strict=True)]
+        total = np.array([len(x) // 4 for x in raw], np.int64)[rows]
+        return pa.RecordBatch.from_arrays(
+            [part.column(0).take(pa.array(rows)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(total)],
+            ["doc_id", "start", "length", "ids", "doc_tokens"],
+        )
 
     out = docs.select(F.col(key), F.col(text)).mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long")
     return out.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
