@@ -152,10 +152,12 @@ def test_line_frequency(spark):
 
 # ---- surrogates ----
 
+KEY = "a key"
+
 
 def test_surrogates_are_consistent(spark, docs_of):
     rows = [(1, "Mr. John Smith <john.smith@corp.com> +1 (974) 555-3436, card 4111 1111 1111 1111", "s"), (2, "Mrs. Smith wrote to JOHN.SMITH@corp.com; 4111111111111111; Anna Kowalska", "s"), (3, "no data, 12 34", "s"), (4, None, None), (None, "ip 10.20.30.40.", "s"), (1, "", "s")]
-    out = pii.replace(docs_of(rows))
+    out = pii.replace(docs_of(rows), KEY)
     assert out.columns == ["doc_id", "text", "source", "slot", "n", "n_entities"]
     got = out.orderBy("doc_id", "text").collect()
     one = next(r["text"] for r in got if r["doc_id"] == 1 and r["text"])
@@ -170,14 +172,14 @@ def test_surrogates_are_consistent(spark, docs_of):
     assert sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
     assert next(r["text"] for r in got if r["doc_id"] == 3) == "no data, 12 34"
     assert [r["n_entities"] for r in got if r["text"] is None] == [0]
-    assert pii.replace(docs_of([])).count() == 0
+    assert pii.replace(docs_of([]), KEY).count() == 0
 
 
 def test_collisions_are_drawn_again(spark, docs_of):
     """More given names than the list has: surrogates stay distinct, none is a name of the corpus."""
     names = pii.MALE_NAMES + pii.MALE_CYRILLIC
     docs = docs_of([(i, f"Mr {n} Tester{chr(97 + i % 26)}", "s") for i, n in enumerate(names)])
-    out = [r["text"].split() for r in pii.replace(docs).orderBy("doc_id").collect()]
+    out = [r["text"].split() for r in pii.replace(docs, KEY).orderBy("doc_id").collect()]
     drawn = [w[1] for w in out]
     assert len(set(drawn)) == len(names) and not set(drawn) & set(names)
     assert [w[0] for w in out] == ["Mr"] * len(names)
@@ -189,7 +191,7 @@ def test_whole_entities_are_found(spark, docs_of):
         (3, "Mr McDonald, Mr O'Brien, James McDonald, Dr Hopper, Prof. Dr. Lovelace, Mr Smith-Jones.", "s"),
         (4, "Mr Kowal came. Later Kowal's aunt met Kowal-Meyer and Kowalska; Dr Mary Hopper left.", "s"), (5, "Kowal stays here", "s"),
     ]
-    got = {r["doc_id"]: r for r in pii.replace(docs_of(rows)).collect()}
+    got = {r["doc_id"]: r for r in pii.replace(docs_of(rows), KEY).collect()}
     quad = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
     assert re.fullmatch(rf"\+1 \(\d{{3}}\) \d{{3}}-\d{{4}} {quad}", got[1]["text"]) and re.fullmatch(rf"(?:\d{{4}} ){{4}}{quad} end", got[2]["text"])
     assert got[1]["n_entities"] == got[2]["n_entities"] == 2 and "190.137" not in got[1]["text"] + got[2]["text"]
@@ -204,11 +206,97 @@ def test_more_names_than_three_syllables_have(spark, docs_of):
     """5,000 Cyrillic surnames: more than the 4,096 triples of syllables."""
     low = "абвгдежзиклмнопрст"
     names = ["Щ" + low[i % 18] + low[i // 18 % 18] + low[i // 324 % 18] for i in range(5000)]
-    out = pii.replace(docs_of([(k, " ".join(f"Господин {n}." for n in names[k::10]), "s") for k in range(10)])).collect()
+    out = pii.replace(docs_of([(k, " ".join(f"Господин {n}." for n in names[k::10]), "s") for k in range(10)]), KEY).collect()
     drawn = [w for r in out for w in re.findall(r"Господин (\w+)\.", r["text"])]
     assert len(drawn) == len(set(drawn)) == 5000 and not set(drawn) & set(names)
 
 
+def test_one_surrogate_in_every_format(spark, docs_of):
+    numbers = [f"49{1700000000 + 7919 * i}" for i in range(200)]
+    rows = [(i, f"+{n}; +{n[:2]} {n[2:]}; +{n[:2]}-{n[2:5]}-{n[5:8]}-{n[8:]}", "s") for i, n in enumerate(numbers)]
+    drawn = set()
+    for r in pii.replace(docs_of(rows), KEY).collect():
+        found = {re.sub(r"\D", "", x) for x in r["text"].split(";")}
+        assert len(found) == 1 and next(iter(found)).startswith("49")
+        drawn |= found
+    assert len(drawn) == 200 and not drawn & set(numbers)
+
+
+def test_scripts_and_genders(spark, docs_of):
+    rows = [(1, "Mr Παπαδόπουλος, Госпожа Иванова, Господин Иванов, Mr Müller-Lüdenscheidt, 10.200.3.4", "s")]
+    text = pii.replace(docs_of(rows), KEY).first()["text"]
+    m = re.fullmatch(r"Mr ([Α-Ωα-ω]+), Госпожа ([А-я]+ова), Господин ([А-я]+ов), Mr ([A-Za-z]+), (\d\d)\.(\d{3})\.(\d)\.(\d)", text)
+    assert m, text
+
+
+def test_the_key_is_needed(spark, docs_of):
+    with pytest.raises(ValueError):
+        pii.configured_key(spark)
+    spark.conf.set(pii.SETTING, "secret")
+    try:
+        assert pii.configured_key(spark) == "secret"
+    finally:
+        spark.conf.unset(pii.SETTING)
+    docs = docs_of([(1, "Mr Smith", "s")])
+    assert pii.replace(docs, "one").first()["text"] != pii.replace(docs, "two").first()["text"]
+
+
+def test_draws_are_hmacs(spark):
+    import hmac
+
+    got = spark.range(1).select(pii.draw(F.lit("email"), F.lit("a@b.c"), F.lit(3), "k" * 70)).first()[0]
+    assert got[:64] == hmac.new(b"k" * 70, "email\x1fa@b.c\x1f3".encode(), "sha256").hexdigest()
+
+
+def surrogates_by_hand(texts, key):
+    """(entity -> surrogate) and texts with None for each match, by one loop over all texts with the plain patterns."""
+    import regex
+
+    any_of = regex.compile(pii.ANY)
+    out = []
+    for t in texts:
+        cut, at = [], 0
+        for m in any_of.finditer(t):
+            cut += [t[at : m.start()], m[0]]
+            at = m.end()
+        out.append([*cut, t[at:]])
+    return out
+
+
+def test_surrogates_against_a_plain_loop(spark, docs_of):
+    rng = random.Random(5)
+    kinds = [
+        lambda: f"u{rng.randrange(40)}.x@mail{rng.randrange(3)}.org", lambda: f"{rng.randrange(1, 255)}.{rng.randrange(1, 255)}.7.{rng.randrange(10, 99)}",
+        lambda: f"{rng.randrange(100, 999)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}", lambda: f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}",
+        lambda: f"DE{rng.randrange(10, 99)} 5001 0517 5407 {rng.randrange(1000, 9999)} 31", lambda: " ".join(str(rng.randrange(1000, 9999)) for _ in range(4)),
+        lambda: rng.choice(["Mr ", "Mrs ", "Anna ", "Dr "]) + rng.choice(["Kowal", "Nowak", "Zielinski", "O'Hara"]),
+    ]
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = [", ".join(rng.choice(kinds)() if rng.random() < 0.4 else word() for _ in range(rng.randrange(30))) for _ in range(150)]
+    texts += [texts[0]] * 3 + ["x " * 200_000 + "Mr Kowal " + "y " * 1000]
+    got = {r["doc_id"]: r for r in pii.replace(docs_of([(i, t, "s") for i, t in enumerate(texts)]), KEY).collect()}
+    seen, back = {}, {}
+    for i, cut in enumerate(surrogates_by_hand(texts, KEY)):
+        assert got[i]["n_entities"] == len(cut) // 2
+        at, new = 0, got[i]["text"]
+        for k in range(0, len(cut) - 1, 2):  # what lies between the matches is untouched
+            assert new.startswith(cut[k], at), (i, cut[k])
+            at += len(cut[k])
+            end = new.index(cut[k + 2], at) if cut[k + 2] else len(new)
+            old, made, at = cut[k + 1], new[at:end], end
+            name = bool(re.match(r"(Mr|Mrs|Dr|Anna) ", old))
+            if name:
+                title = old.split(" ")[0]
+                assert title == "Anna" or made.startswith(title + " ")
+                old, made = old.split(" ")[1], made.split(" ")[1]
+            else:
+                assert re.sub(r"[0-9]", "0", old) == re.sub(r"[0-9]", "0", made) or "@" in old
+                old, made = re.sub(r"[^A-Za-z0-9@.+]", "", old), re.sub(r"[^A-Za-z0-9@.+]", "", made)
+            assert seen.setdefault(old, made) == made and back.setdefault(made, old) == old and made != old
+        assert new[at:] == cut[-1]
+    assert not set(seen) & set(back)
+
+
 # ---- mixing ----
 
 

@@ -2,32 +2,43 @@
 
 Detected: e-mail addresses, IPv4 addresses, phone numbers, card-like numbers of 13 to 19 digits, social
 security numbers, IBANs, and names behind an honorific or a known given name; a surname found so is replaced
-wherever else its document has it. A surrogate is drawn from
-SHA-256 of a secret key, the type, the normalised value and an attempt number, so an entity gets one
-surrogate in all documents (coreference) and nobody without the key can go back. It keeps the format:
-digits stay digits, separators, case, lengths and country codes stay, a letter is replaced by one of its
-script, a card number keeps its remainder modulo 10 in the Luhn sum, and a name keeps gender and script.
+wherever else its document has it. A surrogate is drawn by HMAC-SHA256 with a secret key from the type,
+the normalised value and an attempt number, so an entity gets one surrogate in all documents and in every
+format (coreference) and nobody without the key can go back. It is drawn for the normalised value and laid
+into the format of each mention: digits stay digits, separators, case, lengths and country codes stay, a
+letter is replaced by one of its script, a card number keeps its remainder modulo 10 in the Luhn sum, and a
+name keeps gender and script.
 
 Collisions: the distinct entities of the whole corpus are checked. Where two share a surrogate, or a
 surrogate is itself an entity of the corpus, all but the first draw again with the next attempt until no
-collision is left. A name gets one more syllable with each attempt, so names of any number find room. Only those few have an attempt above 0; it is joined to the documents that mention
-them, and all other surrogates are computed in place.
+collision is left; a round reads only those that draw again and compares them with what is settled. A name
+gets one more syllable with each attempt, so names of any number find room. Only those few have an attempt
+above 0; it is joined to the documents that mention them, and all other surrogates are computed in place.
+
+The key is the caller's: ``configured_key`` reads it from the session's configuration and refuses to go on
+without one.
 
 Everything is DataFrame code; a text is split at its matches and put together again.
 
 Defined results: a null text stays null; texts without entities stay as they are; repeated rows are
-treated alike; other columns pass; an empty table gives no rows.
+treated alike; other columns pass, whatever they are called, but for ``n_entities``, which is replaced; an
+empty table gives no rows; a text of any length is read whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varve.llm.text import let
-from varve.session import stash
+from varve.session import few, remove, stash
 
-KEY = "surrogate-key"
+#: The setting that holds the key.
+SETTING = "spark.varve.pii.key"
+#: Rows that a join of entities broadcasts at most.
+FEW = 100_000
 #: Attempts after which the values of a short mail or phone format count as used up: from then on it grows.
 FULL = 16
 
@@ -40,7 +51,11 @@ MALE_NAMES = "James John Robert Michael William David Richard Thomas Charles Dan
 FEMALE_NAMES = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Anna Emma Laura Julia Ursula Monika Sabine Marie Claire Isabelle Carmen María Ana Lucía Sofía".split()
 MALE_CYRILLIC = "Иван Пётр Алексей Дмитрий Сергей Андрей Михаил Николай".split()
 FEMALE_CYRILLIC = "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана".split()
-SYLLABLES = {"latin": "bar ken lor mi ran del sto wel hart ming ner tol vas per gar lin dor sel mun ford".split(), "cyrillic": "бар кен лор ми ран дел сто вел гар лин дор сел мун пор тов рин".split()}
+SYLLABLES = {"latin": "bar ken lor mi ran del sto wel hart ming ner tol vas per gar lin dor sel mun ford".split(), "cyrillic": "бар кен лор ми ран дел сто вел гар лин дор сел мун пор тов рин".split(), "greek": "βαρ κεν λορ μι ραν δελ στο βελ γαρ λιν δορ σελ μουν πορ τοβ ριν".split()}
+#: Endings of surnames that tell the gender, and what a surrogate of that gender ends with.
+ENDINGS = {"f": (r"(?:ова|ева|ёва|ина|ская|цкая|ая)$", "ова"), "m": (r"(?:ов|ев|ёв|ин|ский|цкий|ой|ый)$", "ов")}
+#: Country codes of telephone numbers by length: all others have three digits.
+ONE_DIGIT, TWO_DIGITS = "[17]", "2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 
 #: What a title or given name begins with: one look at a character spares the long alternations.
 _FIRST = "(?=[" + "".join(sorted({x[0] for x in TITLES + MALE_TITLES + FEMALE_TITLES + MALE_NAMES + FEMALE_NAMES + MALE_CYRILLIC + FEMALE_CYRILLIC})) + "])"
@@ -80,13 +95,30 @@ def kind_of(m: Column) -> Column:
 
 def normal(kind: Column, m: Column) -> Column:
     """What is equal for mentions of one entity."""
-    return F.when(kind.isin("iban", "ssn", "phone", "card"), F.regexp_replace(m, r"[^A-Z0-9]", "")).when(kind == "email", F.lower(m)).otherwise(m)
+    return F.when(kind.isin("iban", "ssn", "phone", "card"), F.regexp_replace(m, r"[^A-Z0-9+]", "")).when(kind == "email", F.lower(m)).otherwise(m)
+
+
+def configured_key(spark: SparkSession) -> str:
+    """The key of the session's configuration; without one no surrogate is made."""
+    key = spark.conf.get(SETTING, None)
+    if not key:
+        raise ValueError(f"set {SETTING}: surrogates need a secret key")
+    return key
+
+
+def _hmac(key: str, message: Column) -> Column:
+    """HMAC-SHA256 as 64 hexadecimal digits."""
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\x00")
+    pad = lambda x: F.lit(bytearray(b ^ x for b in raw))
+    inner = F.sha2(F.concat(pad(0x36), F.encode(message, "UTF-8")), 256)
+    return F.sha2(F.concat(pad(0x5C), F.unhex(inner)), 256)
 
 
 def draw(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """128 hexadecimal digits, different for every entity and attempt."""
-    seed = F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string"))
-    return F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("\x1f2")), 256))
+    seed = F.concat_ws("\x1f", kind, value, attempt.cast("string"))
+    return let(_hmac(key, seed), lambda first: F.concat(first, F.sha2(first, 256)))
 
 
 def _number(hexes: Column, at: Column | int, below: int) -> Column:
@@ -100,10 +132,10 @@ def _letter(alphabet: str, hexes: Column, i: Column) -> Column:
 
 
 def _reformed(m: Column, keep: Column, hexes: Column) -> Column:
-    """m with letters and digits behind the first keep code points drawn anew; the k-th letter or digit gets the k-th draw."""
+    """m with its letters and digits behind the first keep of them drawn anew; the k-th letter or digit gets the k-th draw, whatever stands between."""
 
     def one(c: Column, i: Column) -> Column:
-        k = F.length(F.regexp_replace(F.substring(m, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
+        k = F.length(F.regexp_replace(F.substring(m, F.lit(1), i + 1), r"[^\p{L}\p{N}]", ""))
         low = F.lower(c)
         new = (
             F.when(c.rlike("[0-9]"), _number(hexes, k, 10).cast("string"))
@@ -113,7 +145,7 @@ def _reformed(m: Column, keep: Column, hexes: Column) -> Column:
             .when(c.rlike(r"\p{L}"), _letter(ACCENTS, hexes, k))
             .otherwise(c)
         )
-        return F.when(i < keep, c).when(c == low, new).otherwise(F.upper(new))
+        return F.when(k <= keep, c).when(c == low, new).otherwise(F.upper(new))
 
     return F.array_join(F.transform(F.filter(F.split(m, ""), lambda c: c != ""), one), "")
 
@@ -130,28 +162,44 @@ def _longer(steps: Column, hexes: Column, one) -> Column:
     return F.when(steps > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), lambda k: one(F.sha2(F.concat(hexes, k.cast("string")), 256))), "")).otherwise("")
 
 
-def _person(kind: Column, value: Column, hexes: Column, attempt: Column) -> Column:
-    """A name for kinds given:<gender>:<script> and surname:<script>."""
+def _person(kind: Column, hexes: Column, attempt: Column) -> Column:
+    """A name for kinds given:<gender>:<script> and surname:<gender or nothing>:<script>."""
     pick = lambda names: F.get(F.array(*map(F.lit, names)), _number(hexes, 0, len(names)))
     one = lambda script, digits, at: F.get(F.array(*map(F.lit, SYLLABLES[script])), _number(digits, at, len(SYLLABLES[script])))
     made = lambda script: F.initcap(F.concat(*[one(script, hexes, 8 * k) for k in range(3)], _longer(attempt, hexes, lambda d: one(script, d, 0))))
-    script = F.when(kind.endswith("cyrillic"), made("cyrillic")).otherwise(made("latin"))
-    ending = F.when(kind.startswith("given:f"), F.when(kind.endswith("cyrillic"), "а").otherwise("a")).otherwise("")
+    name = F.when(kind.endswith("cyrillic"), made("cyrillic")).when(kind.endswith("greek"), made("greek")).otherwise(made("latin"))
+    female = F.when(kind.endswith("cyrillic"), "а").when(kind.endswith("greek"), "α").otherwise("a")
+    ending = F.when(kind.startswith("given:f"), female).when(kind == "surname:f:cyrillic", ENDINGS["f"][1]).when(kind == "surname:m:cyrillic", ENDINGS["m"][1]).otherwise("")
     return (
         F.when((kind == "given:m:latin") & (attempt == 0), pick(MALE_NAMES))
         .when((kind == "given:f:latin") & (attempt == 0), pick(FEMALE_NAMES))
         .when((kind == "given:m:cyrillic") & (attempt == 0), pick(MALE_CYRILLIC))
         .when((kind == "given:f:cyrillic") & (attempt == 0), pick(FEMALE_CYRILLIC))
-        .otherwise(F.concat(script, ending))
+        .otherwise(F.concat(name, ending))
     )
 
 
-def surrogate(kind: Column, m: Column, attempt: Column, key: str = KEY) -> Column:
+def _country(m: Column) -> Column:
+    """Digits of the country code that a number behind + begins with: by the code itself, so equal in all formats."""
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    return F.when(~m.startswith("+"), 0).when(digits.rlike(f"^{ONE_DIGIT}"), 1).when(digits.rlike(f"^(?:{TWO_DIGITS})"), 2).otherwise(3)
+
+
+def _octets(m: Column, hexes: Column, attempt: Column) -> Column:
+    """Four numbers with as many digits each as those of m, as long as such are left."""
+
+    def one(x: Column, k: Column) -> Column:
+        n = F.when(attempt >= FULL, 0).otherwise(F.length(x))
+        d = lambda below: _number(hexes, k * 8, below)
+        return F.when(n == 1, d(9) + 1).when(n == 2, d(90) + 10).when(n == 3, d(155) + 100).otherwise(d(254) + 1).cast("string")
+
+    return F.array_join(F.transform(F.split(m, r"\."), one), ".")
+
+
+def surrogate(kind: Column, m: Column, attempt: Column, key: str) -> Column:
     """The surrogate of mention m."""
 
     def of(hexes: Column) -> Column:
-        country = F.greatest(F.length(F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[\x20(.-])", 0)), F.when(m.startswith("+"), 2).otherwise(0))
-        octets = F.array_join(F.array(*[(_number(hexes, 8 * k, 254) + 1).cast("string") for k in range(4)]), ".")
         at = F.instr(m, "@")
         suffix = F.length(F.substring_index(m, ".", -1))
         more = attempt - FULL
@@ -164,12 +212,12 @@ def surrogate(kind: Column, m: Column, attempt: Column, key: str = KEY) -> Colum
 
         return (
             F.when(kind == "email", F.when(at > 0, mail))
-            .when(kind == "ip", octets)
+            .when(kind == "ip", _octets(m, hexes, attempt))
             .when(kind == "card", let(_reformed(m, F.lit(0), hexes), card))
             .when(kind == "iban", _reformed(m, F.lit(2), hexes))
-            .when(kind == "phone", F.concat(_reformed(m, country, hexes), _longer(more, hexes, lambda d: _number(d, 0, 10).cast("string"))))
-            .when(kind == "ssn", _reformed(m, country, hexes))
-            .otherwise(_person(kind, m, hexes, attempt))
+            .when(kind == "phone", F.concat(_reformed(m, _country(m), hexes), _longer(more, hexes, lambda d: _number(d, 0, 10).cast("string"))))
+            .when(kind == "ssn", _reformed(m, F.lit(0), hexes))
+            .otherwise(_person(kind, hexes, attempt))
         )
 
     return let(draw(kind, normal(kind, m), attempt, key), of)
@@ -184,12 +232,13 @@ def parts(m: Column) -> Column:
 
     def person(ws: Column) -> Column:
         first = F.regexp_replace(F.get(F.split(m, r"\x20"), F.lit(0)), r"\.$", "")
-        script = F.when(m.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+        script = F.when(m.rlike(r"\p{IsCyrillic}"), "cyrillic").when(m.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+        ends = lambda w: F.when(script != "cyrillic", "").when(w.rlike(ENDINGS["f"][0]), "f:").when(w.rlike(ENDINGS["m"][0]), "m:").otherwise("")
         tells = F.when(first.isin(*TITLES), F.coalesce(F.regexp_extract(titles, r"(?:^|\x20)(" + "|".join(FEMALE_TITLES) + r")\b", 1), F.lit(""))).otherwise(first)
         tells = F.when(tells == "", F.get(ws, F.lit(0))).otherwise(tells)
         female = tells.isin(*FEMALE_TITLES, *FEMALE_NAMES, *FEMALE_CYRILLIC)
         given = F.concat(F.lit("given:"), F.when(female, "f").otherwise("m"), F.lit(":"), script)
-        return F.transform(ws, lambda w, i: struct(F.when((i == 0) & ((F.size(ws) > 1)), given).otherwise(F.concat(F.lit("surname:"), script)), w))
+        return F.transform(ws, lambda w, i: struct(F.when((i == 0) & ((F.size(ws) > 1)), given).otherwise(F.concat(F.lit("surname:"), ends(w), script)), w))
 
     return F.when(kind_of(m) == "name", let(F.split(F.substring(m, F.length(titles) + 1, F.length(m)), r"\x20"), person)).otherwise(F.array(struct(kind_of(m), m)))
 
@@ -215,33 +264,45 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.groupBy("kind", normal(F.col("kind"), F.col("value")).alias("norm")).agg(F.min("value").alias("value"))
 
 
-def redraws(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
+def redraws(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(kind, norm, attempt) of the entities whose first surrogate collides; the others have attempt 0."""
-    own, _ = stash(entities(docs, text).withColumn("attempt", F.lit(0)), "entities")
-    real = own.select("kind", F.col("norm").alias("s"), F.lit(True).alias("real"))
-    while True:  # names, mails and phones grow with the attempt, so there is always room
-        drawn = own.withColumn("s", normal(F.col("kind"), surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)))
-        # the entity that drew first keeps the surrogate
-        rank = F.row_number().over(Window.partitionBy("kind", "s").orderBy("attempt", "norm"))
-        judged = drawn.withColumn("n", rank).join(real, ["kind", "s"], "left").withColumn("bad", (F.col("n") > 1) | F.coalesce("real", F.lit(False)))
-        own, _ = stash(judged.select("kind", "norm", "value", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"), "bad"), "entities")
-        if not own.where("bad").limit(1).count():
-            return own.where("attempt > 0").select("kind", "norm", "attempt")
-        own = own.drop("bad")
-
-
-def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text: str = "text", again: DataFrame | None = None) -> DataFrame:
+    spark = docs.sparkSession
+    drawn = lambda rows: rows.withColumn("s", normal(F.col("kind"), surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)))
+    # the entity that drew first keeps the surrogate
+    rank = F.row_number().over(Window.partitionBy("kind", "s").orderBy("norm"))
+    real, real_path = stash(entities(docs, text), "entities")
+    names = real.select("kind", F.col("norm").alias("s"))
+    columns = ["kind", "norm", "value", "attempt", "s"]
+    own, path = stash(drawn(real.withColumn("attempt", F.lit(0))), "drawn")
+    judged, _ = stash(own.withColumn("bad", rank > 1).join(names.withColumn("real", F.lit(True)), ["kind", "s"], "left").select(*columns, (F.col("bad") | F.coalesce("real", F.lit(False))).alias("bad")), "judged")
+    remove(spark, path)
+    settled, left, again = judged.where("not bad").select(*columns), judged.where("bad").select(*columns), None
+    while left.limit(1).count():  # names, mails and phones grow with the attempt, so there is always room
+        left, path = stash(drawn(left.withColumn("attempt", F.col("attempt") + 1).drop("s")), "drawn")
+        asked = few(left.select("kind", "s").distinct(), FEW)
+        # what the few drew is looked for among all: only hits are kept
+        held = names.unionByName(settled.select("kind", "s")).join(asked, ["kind", "s"], "left_semi").distinct().withColumn("held", F.lit(True))
+        judged, _ = stash(left.withColumn("first", rank == 1).join(held, ["kind", "s"], "left").select(*columns, (~F.col("first") | F.coalesce("held", F.lit(False))).alias("bad")), "judged")
+        remove(spark, path)
+        good, left = judged.where("not bad").select(*columns), judged.where("bad").select(*columns)
+        settled, again = settled.unionByName(good), good if again is None else again.unionByName(good)
+    return (settled.where("false") if again is None else again).select("kind", "norm", "attempt")
+
+
+def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text: str = "text", again: DataFrame | None = None) -> DataFrame:
     """docs with surrogates in place, and n_entities: how many matches were replaced."""
     again = redraws(docs, key, text) if again is None else again
-    none = F.lit(None).cast("map<string,int>")
+    names = [c for c in docs.columns if c != "n_entities"]
+    mark = F.struct(F.col(id_col).alias("i"), F.xxhash64(F.col(text)).alias("h"))
+    # all columns as one value: none can clash with those made here
+    docs2 = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(text).alias("_text"), mark.alias("_k"))
     if again.limit(1).count():
-        own = docs.select(F.col(id_col).alias("_i"), F.xxhash64(text).alias("_h"), F.explode(F.array_distinct(F.flatten(F.transform(mentions(F.col(text)), parts)))).alias("e"))
-        hit = own.select("_i", "_h", F.col("e.kind").alias("kind"), normal(F.col("e.kind"), F.col("e.value")).alias("norm")).join(again, ["kind", "norm"])
-        per = hit.groupBy("_i", "_h").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "norm"), "attempt"))).alias("_again"))
-        keyed = docs.withColumn("_x", F.xxhash64(text))
-        docs2 = keyed.join(per, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_x") == F.col("_h")), "left").drop("_i", "_h", "_x")
+        own = docs2.select("_k", F.explode(F.array_distinct(F.flatten(F.transform(mentions(F.col("_text")), parts)))).alias("e"))
+        hit = own.select("_k", F.col("e.kind").alias("kind"), normal(F.col("e.kind"), F.col("e.value")).alias("norm")).join(few(again, FEW), ["kind", "norm"])
+        per, _ = stash(hit.groupBy("_k").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "norm"), "attempt"))).alias("_again")), "again")
+        docs2 = docs2.join(few(per.withColumnRenamed("_k", "_m"), FEW), F.col("_k").eqNullSafe(F.col("_m")), "left")
     else:
-        docs2 = docs.withColumn("_again", none)
+        docs2 = docs2.withColumn("_again", F.lit(None).cast("map<string,int>"))
 
     def whole(m: Column) -> Column:
         def of(e: Column) -> Column:
@@ -250,10 +311,10 @@ def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text: str =
 
         # a match is one entity, or a title (kept) and names
         new = F.transform(parts(m), of)
-        names = lambda xs: F.array_join(F.concat(F.slice(F.split(m, r"\x20"), F.lit(1), F.size(F.split(m, r"\x20")) - F.size(xs)), xs), " ")
-        return let(new, lambda xs: F.when(kind_of(m) == "name", names(xs)).otherwise(F.get(xs, F.lit(0))))
+        whole_name = lambda xs: F.array_join(F.concat(F.slice(F.split(m, r"\x20"), F.lit(1), F.size(F.split(m, r"\x20")) - F.size(xs)), xs), " ")
+        return let(new, lambda xs: F.when(kind_of(m) == "name", whole_name(xs)).otherwise(F.get(xs, F.lit(0))))
 
-    t = F.col(text)
+    t = F.col("_text")
 
     def put(found: Column) -> Column:
         # gaps and surrogates in turn
@@ -265,4 +326,4 @@ def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text: str =
     again_in = lambda by: F.struct(by.alias("by"), F.regexp_extract_all(t, by, F.lit(0)).alias("ms"))
     seen = lambda ms: F.when(F.size(ms) > 0, let(let(found_by(ms), again_in), put)).otherwise(F.struct(F.lit(0).cast("long").alias("n"), t.alias("text")))
     out = docs2.withColumn("_r", F.when(t.isNotNull(), let(mentions(t), seen)))
-    return out.select(*[F.col("_r.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != "n_entities"], F.coalesce("_r.n", F.lit(0).cast("long")).alias("n_entities"))
+    return out.select(*[F.col("_r.text").alias(c) if c == text else F.col(f"_row.`{c}`") for c in names], F.coalesce("_r.n", F.lit(0).cast("long")).alias("n_entities"))
