@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varve.llm import jaccard, mixing, packing, pii, quality
-from varve.llm.queries import vocabulary_path
+from varve.llm.queries import OPEN_KEY, vocabulary_path
 from varve.llm.text import table, word_count
 from varve.session import few, stash
 
@@ -41,8 +41,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced; n_chars follows the text."""
-    out = pii.replace(docs).drop("n_entities")
+    """Personal data is replaced; n_chars follows the text. The key is the session's, or the open one for test tables."""
+    out = pii.replace(docs, spark.conf.get(pii.SETTING, OPEN_KEY)).drop("n_entities")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
