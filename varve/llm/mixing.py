@@ -16,7 +16,8 @@ Choosing n of a size's documents needs no sort of that group: hashes are counted
 are taken or left, and only the range in which n falls is ranked; a group of any size is split so.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source of its own, the last;
-repeated rows count each; an empty table gives no rows; other columns pass.
+repeated rows count each; an empty table gives no rows; other columns pass, whatever they are called, but
+for those that are added (size, source_size, target, taken), which are replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varve.session import few, stash
+
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
@@ -35,6 +38,8 @@ TABLE = 1 << 15
 #: Words of documents taken already that are chosen anew where the rest alone is not met; all, if they are no more.
 LOOSE = 1 << 21
 RANGES = 256
+#: Columns that a mix adds, and sources whose targets are broadcast at most.
+ADDED, FEW = ("size", "source_size", "target", "taken"), 100_000
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -141,24 +146,26 @@ def plan(sizes: DataFrame, goal: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: Column | None = None, seed: int = SEED, **goal_args) -> DataFrame:
     """docs (which must be cheap to read twice) with size, source_size, target and taken. size: of a row, as long."""
-    own = docs.withColumns({"size": size, "_source": F.col(source)})
-    own = own.withColumn("_hash", F.xxhash64(F.lit(seed), F.col(key).cast("string"), "size"))
+    names = [c for c in docs.columns if c not in ADDED]
+    # all columns as one value: none can clash with those made here
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), size.cast("long").alias("size"), F.col(source).alias("source"), F.col(key).alias("_key"))
+    own = own.withColumn("_hash", F.xxhash64(F.lit(seed), F.col("_key").cast("string"), "size"))
     own = own.withColumn("_range", F.shiftrightunsigned("_hash", 64 - RANGES.bit_length() + 1))
-    slim = own.select(F.col("_source").alias("source"), "size", "_range")
-    goal = targets(slim, **goal_args)
+    slim = own.select("source", "size", "_range")
+    goal, _ = stash(targets(slim, **goal_args), "targets")
     chosen = plan(slim, goal).select(F.col("source").alias("s"), F.col("size").alias("z"), "n", "passes", "more")
     # ranges of a size's hashes: how many documents lie before and in each
     counted = slim.where("size > 0").groupBy("source", "size", "_range").agg(F.count(F.lit(1)).alias("in_range"))
     counted = counted.withColumn("before", F.sum("in_range").over(Window.partitionBy("source", "size").orderBy("_range")) - F.col("in_range"))
     counted = counted.join(chosen, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
     counted = counted.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("_range").alias("r"), "passes", (F.col("more") - F.col("before")).alias("room"), "in_range")
-    marked = own.join(counted, F.col("_source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("_range") == F.col("r")), "left").drop("s", "z", "r")
+    marked = own.join(counted, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("_range") == F.col("r")), "left").drop("s", "z", "r")
     split = (F.col("room") > 0) & (F.col("room") < F.col("in_range"))
     # only ranges that hold the cut are ranked; other rows go to a group of one by their own hash
     lane = F.when(split, F.lit(-1).cast("long")).otherwise(F.col("_hash"))
-    rank = F.row_number().over(Window.partitionBy("_source", "size", "_range", lane).orderBy("_hash", key))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "_range", lane).orderBy("_hash", "_key"))
     again = F.when(F.col("room") >= F.col("in_range"), 1).when(split & (rank <= F.col("room")), 1).otherwise(0)
     taken = F.coalesce((F.col("passes") + again) * F.col("size"), F.lit(0)).cast("long")
-    out = marked.withColumn("taken", taken).drop("_hash", "_range", "passes", "room", "in_range")
-    out = out.join(goal.withColumnRenamed("source", "_s"), F.col("_source").eqNullSafe(F.col("_s")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "size", "source_size", "target", "taken")
+    out = marked.withColumn("taken", taken)
+    out = out.join(few(goal.select(F.col("source").alias("_s"), "source_size", "target"), FEW), F.col("source").eqNullSafe(F.col("_s")))
+    return out.select(*[F.col(f"_row.`{c}`") for c in names], "size", "source_size", "target", "taken")
