@@ -4,7 +4,7 @@ Per document: word and symbol counts, repeated lines, and words in repeated 5-wo
 documents: every line is normalised (lower case, white space to one space, trimmed) and hashed; for each
 host the distinct documents of a line are counted, where copies with the same lines are one document.
 A line above ``max_docs`` is removed from all documents of the host but the first that holds it, so a
-group of near copies never loses every member. A document of which less than ``min_left`` of the
+group of near copies never loses every member (``keep_first=False``: from that one as well). A document of which less than ``min_left`` of the
 characters of its distinct lines is left is depleted and rejected.
 
 The host column is a parameter (here: source). A hot host or line is no hot task: lines are dealt by
@@ -12,7 +12,7 @@ host and line and counted in two steps, and the join with the few lines above th
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its own;
 repeated rows with the same id each get their row; an empty table gives no rows; extra columns are
-passed by ``clean`` and ignored by ``judge``.
+passed by ``clean``, whatever they are called, and ignored by ``judge``; a text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.llm.text import WORD, let, words
-from varve.session import stash
+from varve.session import few, remove, stash
 
 MAX_DOCS = 10
 MIN_LEFT = 0.3
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]"
+#: Rows of lines or changes that a join broadcasts at most.
+FEW = 200_000
 
 
 def repeat_words(hashes: Column) -> Column:
@@ -117,29 +119,42 @@ def excess_lines(found: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     return each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("k").alias("k")).where(F.col("n_docs") > max_docs).select("host", "line", "n_docs", F.col("k.content").alias("first"))
 
 
-def removals(found: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+def removals(found: DataFrame, max_docs: int = MAX_DOCS, keep_first: bool = True) -> DataFrame:
     """(host, content, removed_chars, removed): what each distinct document loses; those that lose nothing are absent."""
-    once = found.groupBy("host", "content").agg(F.first("keys").alias("keys")).withColumn("id", F.lit(None))
-    hits = _lines(once).join(excess_lines(found, max_docs), ["host", "line"]).where(F.col("content") != F.col("first"))
+    once = found.where(F.size("keys") > 0).groupBy("host", "content").agg(F.first("keys").alias("keys")).withColumn("id", F.lit(None))
+    over, _ = stash(excess_lines(found.where(F.size("keys") > 0), max_docs).select("host", "line", "first"), "lines")
+    # few lines are looked up in place; many are joined by host and line, where a hot line can be split
+    hits = _lines(once).join(few(over, FEW), ["host", "line"])
+    hits = hits.where(F.col("content") != F.col("first")) if keep_first else hits
     return hits.groupBy("host", "content").agg(F.sum("n").alias("removed_chars"), F.collect_set("line").alias("removed"))
 
 
-def judge(found: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(found: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, keep_first: bool = True) -> DataFrame:
     """A row for each of features' rows, with line_chars, removed_chars, removed and kept for keys. No text is shuffled."""
-    lost = removals(found, max_docs).withColumnsRenamed({"host": "_h", "content": "_c"})
+    lost = removals(found, max_docs, keep_first).withColumnsRenamed({"host": "_h", "content": "_c"})
     chars = F.aggregate("keys", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    out = found.withColumn("line_chars", chars).drop("keys").join(lost, (F.col("host") == F.col("_h")) & (F.col("content") == F.col("_c")), "left").drop("_h", "_c")
+    # a document without lines loses none: its key is null, which joins nothing
+    own = F.when(F.size("keys") > 0, F.col("content"))
+    out = found.withColumns({"line_chars": chars, "_own": own}).drop("keys").join(lost, (F.col("host") == F.col("_h")) & (F.col("_own") == F.col("_c")), "left").drop("_h", "_c", "_own")
     out = out.withColumns({"removed_chars": F.coalesce("removed_chars", F.lit(0).cast("long")), "removed": F.coalesce("removed", F.array().cast("array<bigint>"))})
     depleted = F.col("line_chars") - F.col("removed_chars") < F.lit(min_left) * F.col("line_chars")
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def clean(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, key: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, key: str = "doc_id", host: str = "source", text: str = "text", keep_first: bool = True) -> DataFrame:
     """The documents that are kept, without their removed lines, in the columns of docs."""
-    found, _ = stash(features(docs.select(F.col(key).alias("id"), F.col(host).alias("host"), F.col(text).alias("text"))), "quality")
-    right = judge(found, max_docs, min_left).where("kept").select(F.col("id").alias("_i"), F.col("host").alias("_h"), F.col("text_hash").alias("_t"), "removed").distinct()
-    left = docs.withColumns({"_host": F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("")), "_hash": F.xxhash64(F.col(text))})
-    r = left.join(right, F.col(key).eqNullSafe(F.col("_i")) & (F.col("_host") == F.col("_h")) & (F.col("_hash") == F.col("_t")))
-    short = let(line_hashes(F.col(text)), lambda hs: F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("removed"), F.get(hs, i)["line"])), "\n"))
-    r = r.withColumn("_text", F.when(F.size("removed") > 0, short).otherwise(F.col(text)))
-    return r.select(*[F.col("_text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    slim = docs.select(F.col(key).alias("id"), F.col(host).alias("host"), F.col(text).alias("text"))
+    found, path = stash(features(slim), "quality")
+    mark = lambda h: F.struct(F.col("id").alias("i"), F.col("host").alias("h"), h.alias("t"))
+    # a document is looked up only for what changes: that it goes, or loses lines
+    change = judge(found, max_docs, min_left, keep_first).where("not kept or size(removed) > 0").select(mark(F.col("text_hash")).alias("_m"), "kept", "removed").dropDuplicates(["_m"])
+    change, _ = stash(change, "changes")
+    remove(docs.sparkSession, path)
+    short_enough = change.agg(F.sum(F.size("removed"))).first()[0] or 0
+    change = few(change, FEW) if short_enough <= 10 * FEW else change
+    # all columns as one value: none can clash with those made here
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"), F.col(key).alias("id"), F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("")).alias("host"))
+    r = left.withColumn("_k", mark(F.xxhash64("_text"))).join(change, F.col("_k").eqNullSafe(F.col("_m")), "left").where("coalesce(kept, true)")
+    short = let(line_hashes(F.col("_text")), lambda hs: F.array_join(F.filter(F.split(F.col("_text"), "\n"), lambda x, i: ~F.array_contains(F.col("removed"), F.get(hs, i)["line"])), "\n"))
+    r = r.withColumn("_new", F.when(F.size("removed") > 0, short).otherwise(F.col("_text")))
+    return r.select(*[F.col("_new").alias(text) if c == text else F.col(f"_row.`{c}`") for c in docs.columns])
