@@ -87,18 +87,32 @@ def test_secrets_match_the_base_rules(spark):
     assert [s["rank"] for s in got[11]] == [3]
 
 
-def test_ledger_scans_only_unseen_pairs(spark):
+def test_ledger_scans_only_unseen_pairs(spark, tmp_path, monkeypatch):
     paths = spark.createDataFrame([(1, "token=abcdefgh1"), (2, "token=abcdefgh1"), (None, "token=abcdefgh1"), (2, "token=abcdefgh1"), (4, None), (5, "clean")], "id long, text string")
-    first = secrets.scan(paths)
-    ledger = first.unionByName(secrets.clean_rows(paths, first))
-    assert first.count() == 1 and ledger.count() == 3
-    assert secrets.unseen(paths, ledger).count() == 0
-    assert secrets.unseen(paths, ledger, "rules-2").select("blob").distinct().count() == 3
-    more = paths.unionByName(spark.createDataFrame([(9, "secret=abcdefgh2")], "id long, text string"))
-    assert [r["id"] for r in secrets.unseen(more, ledger).collect()] == [9]
-    found = secrets.findings(paths, ledger).collect()
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    assert ledger.read() is None
+    found = ledger.scan(paths).collect()
     assert len(found) == 6 and sum(len(r["spans"]) for r in found) == 4
-    assert secrets.findings(paths.limit(0), ledger).count() == 0
+    assert ledger.read().count() == 3 and secrets.unseen(paths, ledger.read()).count() == 0
+    assert secrets.unseen(paths, ledger.read(), "rules-2").count() == 3
+    again = ledger.scan(paths).collect()
+    assert ledger.read().count() == 3 and sorted(map(str, again)) == sorted(map(str, found))
+    more = paths.unionByName(spark.createDataFrame([(9, "secret=abcdefgh2")], "id long, text string"))
+    for few in (secrets.FEW, 0):
+        monkeypatch.setattr(secrets, "FEW", few)
+        assert [len(r["spans"]) for r in secrets.scan(more, ledger.read()).collect()] == [1]
+    assert sum(len(r["spans"]) for r in ledger.scan(more).collect()) == 5 and ledger.read().count() == 4
+    assert ledger.scan(paths.limit(0)).count() == 0
+
+
+def test_every_version_of_a_path(spark, tmp_path):
+    long = "x " * 300_000 + "token=abcdefgh9"
+    rows = [("a", 1, "token=abcdefgh1", "b1"), ("a", 2, "nothing", "b2"), ("a", 3, long, "b3"), ("b", 1, "token=abcdefgh1", "b4")]
+    history = spark.createDataFrame(rows, "path string, commit int, text string, blob string")
+    got = secrets.Ledger(spark, str(tmp_path / "ledger")).scan(history)
+    assert got.columns == ["path", "commit", "blob", "spans"]
+    spans = {(r["path"], r["commit"]): [(s["start"], s["end"]) for s in r["spans"]] for r in got.collect()}
+    assert spans == {("a", 1): [(0, 15)], ("a", 2): [], ("a", 3): [(600_000, 600_015)], ("b", 1): [(0, 15)]}
 
 
 # ---- quality rules ----
