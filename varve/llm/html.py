@@ -11,7 +11,8 @@ Text blocks: block elements begin and end a block; <br> is white space. Characte
 white space becomes one space, and blocks are joined by one line end, empty ones left out.
 
 Defined results: a null or empty page gives the empty text; a page that ends in the middle of a tag is
-read up to the tag; repeated rows are read each; other columns pass by choice; no depth is too deep.
+read up to the tag; repeated rows are read each; other columns pass by choice; no depth is too deep, and
+the work grows in proportion to the page, whatever it holds.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ BLOCK = set(
 #: Ended by the start of the elements after the colon.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>|\Z)""", re.S)
+P_SCOPE = {"table", "caption", "td", "th", "button"}
+#: A quote begins a value only behind "=": elsewhere it is a sign like any other. Nothing is read twice.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)(>|\Z)""", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 #: Words of classes and ids, by what they usually mark.
@@ -55,24 +58,58 @@ MARK_OF = {w: k for k, ws in MARKS.items() for w in ws.split()}
 
 
 class Node:
-    __slots__ = ("classes", "link", "parent", "size", "tag")
+    __slots__ = ("classes", "holder", "link", "parent", "size", "tag")
 
-    def __init__(self, tag: str, parent: int, classes: str):
-        self.tag, self.parent, self.classes, self.size, self.link = tag, parent, classes, 0, 0
+    def __init__(self, tag: str, parent: int, classes: str, holder: int):
+        """holder: the number of the block element that holds it, itself if it is one."""
+        self.tag, self.parent, self.classes, self.size, self.link, self.holder = tag, parent, classes, 0, 0, holder
+
+
+class Stack:
+    """Open elements, with the places of each tag: what is open and where is known without a search."""
+
+    def __init__(self, nodes: list[Node]):
+        self.nodes, self.open, self.at, self.blocks = nodes, [0], {}, [0]
+
+    def push(self, node: int) -> None:
+        tag = self.nodes[node].tag
+        self.at.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCK:
+            self.blocks.append(len(self.open))
+        self.open.append(node)
+
+    def cut(self, place: int) -> None:
+        while len(self.open) > place:
+            tag = self.nodes[self.open.pop()].tag
+            self.at[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, tag: str) -> int:
+        """Where the innermost open element of a tag is; 0 if there is none."""
+        found = self.at.get(tag)
+        return found[-1] if found else 0
+
+    def end(self, tag: str, scope: set[str]) -> None:
+        """Close the innermost open tag, unless an element of scope is nearer."""
+        place = self.last(tag)
+        if place and place > max(map(self.last, scope), default=0):
+            self.cut(place)
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """(nodes in page order, pieces). A piece is (node, text) or, between blocks, (-1, '')."""
-    nodes, pieces, stack = [Node("#page", -1, "")], [], [0]
+    nodes, pieces = [Node("#page", -1, "", 0)], []
+    stack = Stack(nodes)
     at, low = 0, None
     while at < len(page):
         m = TAG.search(page, at)
         if m is None:
             # a lone "<" is text; a tag that the page's end cuts is not
-            pieces.append((stack[-1], page[at:]))
+            pieces.append((stack.open[-1], page[at:]))
             break
         if m.start() > at:
-            pieces.append((stack[-1], page[at : m.start()]))
+            pieces.append((stack.open[-1], page[at : m.start()]))
         at = m.end()
         if m[2] is None:
             continue
@@ -82,25 +119,25 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if m[1]:
             if tag in BLOCK:
                 pieces.append((-1, ""))
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and nodes[stack[k]].tag in BLOCK:
-                    break
+            place = stack.last(tag)
+            # the end of an inline element doesn't end the block around it
+            if place and (tag in BLOCK or place > stack.blocks[-1]):
+                stack.cut(place)
             continue
         if tag in BLOCK:
             pieces.append((-1, ""))
-            _end(nodes, stack, "p", {"table", "td", "th", "li", "div", "section", "article", "body", "blockquote"} - {tag})
+            stack.end("p", P_SCOPE)
         if tag in ENDS or tag in SCOPES:
             for other in (t for t, by in ENDS.items() if tag in by):
-                _end(nodes, stack, other, SCOPES[other])
+                stack.end(other, SCOPES[other])
         if tag == "br":
-            pieces.append((stack[-1], " "))
+            pieces.append((stack.open[-1], " "))
         if tag in VOID:
             continue
         named = NAMED.findall(m[3]) if m[3] else ()
-        nodes.append(Node(tag, stack[-1], " ".join(a or b or c for a, b, c in named).lower()))
+        parent = stack.open[-1]
+        holder = len(nodes) if tag in BLOCK or tag in ("button", "label", "select", "option") or not parent else nodes[parent].holder
+        nodes.append(Node(tag, parent, " ".join(a or b or c for a, b, c in named).lower(), holder))
         if tag in RAW:
             low = page.lower() if low is None and len(page.lower()) == len(page) else low
             close = (low or page).find(f"</{tag}", at)
@@ -111,21 +148,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 at = len(page)
             continue
         if not m[3].endswith("/") or tag in BLOCK:
-            stack.append(len(nodes) - 1)
+            stack.push(len(nodes) - 1)
     return nodes, pieces
 
 
-def _end(nodes: list[Node], stack: list[int], tag: str, scope: set[str]) -> None:
-    """Close the innermost open tag, unless an element of scope is nearer."""
-    for k in range(len(stack) - 1, 0, -1):
-        name = nodes[stack[k]].tag
-        if name == tag:
-            del stack[k:]
-            return
-        if name in scope:
-            return
-
-
 def measure(nodes: list[Node], pieces: list[tuple[int, str]]) -> None:
     """Size of all text and of link text below each node."""
     linked = [False] * len(nodes)
@@ -149,7 +175,9 @@ def key(n: Node) -> tuple[str, str, int, int]:
 def features(k: tuple[str, str, int, int]) -> tuple[str, ...]:
     tag, classes, size, link = k
     marks = sorted({MARK_OF[w] for w in re.split(r"[^a-z]+", classes) if w in MARK_OF})
-    return ("bias", f"tag:{tag}", f"size:{size}", f"link:{link}", *(f"mark:{x}" for x in marks))
+    # an element that says nothing of itself by class, id or role
+    bare = (f"bare:{tag}", f"bare:{tag}:link:{link}") if not classes else ()
+    return ("bias", f"tag:{tag}", f"size:{size}", f"link:{link}", *bare, *(f"mark:{x}" for x in marks))
 
 
 class Model:
@@ -211,15 +239,20 @@ class Model:
         self._own.clear()
 
 
-def labelled_pages(n: int = 120, seed: int = 9) -> list[tuple[str, str]]:
+def labelled_pages(n: int = 180, seed: int = 9) -> list[tuple[str, str]]:
     """(page, main text) made by a rule: an article between the usual other parts, in several layouts."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
     say = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
     links = lambda k: "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(k))
     out = []
-    for _ in range(n):
+    for k in range(n):
         title, blocks = say(2, 10), []
+        if k % 15 == 14:  # plain text, in lines that are none to HTML, or little markup
+            body = say(3, 120)
+            out.append((rng.choice(["{}", "<html><body>{}</body></html>", "<p>{}</p>", "<div>{}</div>", "<body><div>{}</div></body>"]).format(body), body))
+            continue
+        plain = rng.random() < 0.12  # an article in divs that say nothing
         # one page in five is many short blocks: each by itself would say little
         many, short = rng.random() < 0.2, rng.random() < 0.5
         for _ in range(rng.randint(20, 90) if many else rng.randint(1, 9)):
@@ -232,7 +265,9 @@ def labelled_pages(n: int = 120, seed: int = 9) -> list[tuple[str, str]]:
         for tag, text in blocks:
             inner = text if rng.random() < 0.7 else re.sub(r"^(\S+)", rng.choice([r"<b>\1</b>", r'<a href="/x">\1</a>', r"<em>\1</em>"]), text)
             body += wrap.get(tag, f"<{tag}>{{}}</{tag}>").format(inner)
-        main = rng.choice(["<article>{}</article>"] * 3 + ["<main>{}</main>", '<div class="post-content">{}</div>', '<div id="content"><article>{}</article></div>', "<main><article>{}</article></main>", '<section class="entry">{}</section>']).format(f"<h1>{title}</h1>{body}")
+        if plain:
+            body = re.sub(r"(</?)(?:p|blockquote|pre)>", r"\1div>", body)
+        main = (rng.choice(["<div>{}</div>", "{}", "<div><div>{}</div></div>"]) if plain else rng.choice(["<article>{}</article>"] * 3 + ["<main>{}</main>", '<div class="post-content">{}</div>', '<div id="content"><article>{}</article></div>', "<main><article>{}</article></main>", '<section class="entry">{}</section>'])).format(f"<h1>{title}</h1>{body}")
         extra = {
             "nav": f"<nav><ul>{links(rng.randint(3, 9))}</ul></nav>" if rng.random() < 0.7 else f'<div class="menu"><ul>{links(5)}</ul></div>',
             "header": f'<header><a href="/">{word()}</a><p>{say(2, 6)}</p></header>',
@@ -277,7 +312,7 @@ def _blocks(pieces: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
         yield now
 
 
-def train(n: int = 120) -> Model:
+def train(n: int = 180) -> Model:
     model = Model()
     model.learn([label(*x) for x in labelled_pages(n)])
     return model
@@ -291,19 +326,12 @@ def main_text(page: str | None, model: Model) -> str:
     belief, _, _ = model.marginals(nodes)
     out = []
     for block in _blocks(pieces):
-        kept = "".join(t for i, t in block if belief[_holder(nodes, i)] > 0)
+        kept = "".join(t for i, t in block if belief[nodes[i].holder] > 0)
         if line := SPACE.sub(" ", _html.unescape(kept)).strip(" "):
             out.append(line)
     return "\n".join(out)
 
 
-def _holder(nodes: list[Node], i: int) -> int:
-    """The block element that holds inline node i."""
-    while nodes[i].tag not in BLOCK and nodes[i].tag not in ("button", "label", "select", "option") and nodes[i].parent > 0:
-        i = nodes[i].parent
-    return i
-
-
 def extract(pages: DataFrame, model: Model | None = None, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """keep's columns and text, n_chars. The model is a few hundred numbers, trained on the driver unless given."""
     shared = pages.sparkSession.sparkContext.broadcast(model or train())
