@@ -12,6 +12,7 @@ import pytest
 
 from varve.llm import html, jaccard, lm, neighbours, packing
 from varve.llm.components import components
+from varve.session import stash
 
 
 # ---- language model ----
@@ -129,15 +130,15 @@ def test_scores_of_nothing(spark):
 # ---- neighbours ----
 
 
-@pytest.mark.parametrize("n, lists", [(12, 0.1), (3000, 0.4)])
-def test_recall(spark, n, lists):
-    rng = np.random.default_rng(n)
-    x = rng.standard_normal((n, 24)) * rng.uniform(0.5, 2, (n, 1))
-    x[n // 2 : n // 2 + n // 3] = x[0]  # a third are copies
-    rows = neighbours.usable(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>"))
+def found(spark, rows, **more):
+    use, _ = stash(neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
     got = defaultdict(list)
-    for r in neighbours.search(rows, rows.where("id % 20 = 0"), 20, lists).orderBy("query_id", "rank").collect():
+    for r in neighbours.search(use, use.where("id % 20 = 0"), **more).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
+    return got
+
+
+def recall(got, x, n):
     s = x @ x.T
     hits = total = 0
     for q in range(0, n, 20):
@@ -147,16 +148,35 @@ def test_recall(spark, n, lists):
         assert all(sc == pytest.approx(s[q, v]) for v, sc in got[q])
         hits += len(set(want) & {v for v, _ in got[q]})
         total += len(want)
-    assert hits / total >= 0.9
+    return hits / total
+
+
+@pytest.mark.parametrize("n", [12, 3000])
+def test_recall(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 24)) * rng.uniform(0.5, 2, (n, 1))
+    x[n // 2 : n // 2 + n // 3] = x[0]  # a third are copies
+    got = found(spark, [(i, [float(v) for v in r]) for i, r in enumerate(x)])
+    assert recall(got, x, n) >= 0.9
+
+
+def test_few_lists_of_clustered_vectors_are_probed(spark):
+    n, rng = 4000, np.random.default_rng(3)
+    x = rng.standard_normal((80, 32))[rng.integers(0, 80, n)] * 3 + rng.standard_normal((n, 32)) * 0.3
+    index = neighbours.Index(x, n, 20)
+    assert index.probes <= len(index.centroids) / 4 and len(index.centroids) == 63 and len(set(index.region)) > 1
+    got = found(spark, [(i, [float(v) for v in r]) for i, r in enumerate(x)])
+    assert recall(got, x, n) >= 0.9
 
 
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 2.0]), (20, None), (1, [0.0, 0.0]), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (None, [1.0, 1.0]), (5, [2.0, 1.0]), (5, [2.0, 1.0]), (6, [3.0])]
-    use = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    assert sorted(r["id"] for r in use.collect()) == [0, 5, 6]
-    got = neighbours.search(use, use.where("id % 20 = 0")).collect()
-    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 5, 4.0), (0, 2, 6, 3.0)]
-    assert neighbours.search(use.where("id < 0"), use.where("id < 0")).count() == 0
+    assert dict(found(spark, rows)) == {0: [(5, 4.0), (5, 4.0), (6, 3.0)]}
+    assert dict(found(spark, [])) == {}
+
+
+def test_rows_of_one_id_are_candidates_each(spark):
+    assert dict(found(spark, [(20, [1.0, 0.0]), (20, [2.0, 0.0]), (7, [0.5, 0.0])])) == {20: [(20, 2.0), (20, 2.0), (7, 0.5), (7, 1.0)]}
 
 
 # ---- Jaccard join ----
@@ -329,6 +349,31 @@ def test_parts_of_a_page(model):
     assert html.main_text(None, model) == ""
 
 
+def test_stray_quotes_and_pages_without_marks(model):
+    assert html.main_text("<p class=x'>Hello there my friends", model) == "Hello there my friends"
+    assert html.main_text('<img alt="5" tall">after the image there is a text', model) == "after the image there is a text"
+    assert html.main_text("<p title='a > b'>not <b c=\"x'>\">bold</b> at all</p>", model) == "not bold at all"
+    assert html.main_text("plain text  only\nhere", model) == "plain text only here"
+    assert html.main_text("<div><div>A short article in plain divs.</div><div>And a second one too.</div></div>", model) == "A short article in plain divs.\nAnd a second one too."
+
+
+@pytest.mark.parametrize("part", ['<a <a ... "', "='a", "<b>", "<div>", "<li>", "<!--", "</", "<a b = ", "<p><button><div>", "<i></b>", "&#", "<script>"])
+def test_hostile_pages_take_linear_time(model, part):
+    took = []
+    for size in (60_000, 240_000):
+        page = "<article><p>" + part * (size // len(part))
+        began = time.process_time()
+        html.main_text(page, model)
+        took.append(time.process_time() - began)
+    assert took[1] < 9 * took[0] + 0.3  # four times the page
+
+
+def test_very_long_pages_and_repeated_rows(spark, model):
+    words = " ".join(f"word{i}" for i in range(60_000))
+    pages = spark.createDataFrame([(1, "u", f"<article><p>{words}</p></article>")] * 2, "page_id long, url string, html string")
+    assert [r["n_chars"] for r in html.extract(pages, model).collect()] == [len(words)] * 2
+
+
 def test_extract(spark, model):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "<article><p>some words that are long enough to be text</p></article>", "x"), (None, None, "", "x")], "page_id long, url string, html string, text string")
     got = html.extract(pages, model).orderBy("n_chars").collect()
