@@ -38,6 +38,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows and bytes of an Arrow batch to Python, which bound a worker's memory and what the JVM holds beside it.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH, for frames with whole texts; smaller settings stay."""
+    for name, most in BATCH.items():
+        now = spark.conf.get(name, None)
+        if not now or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path through Hadoop's file system, whatever store it is in."""
     jvm = spark.sparkContext._jvm
