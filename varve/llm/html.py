@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varve.session import small_batches
+
 # Fixed values of HTML: elements without an end tag, with raw text, and that begin and end a block.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -345,4 +347,5 @@ def extract(pages: DataFrame, model: Model | None = None, html: str = "html", ke
                 text = [main_text(x, m) for x in part.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], [*keep, "text", "n_chars"])
 
+    small_batches(pages.sparkSession)
     return pages.select(*keep, F.col(html)).mapInArrow(run, f"{fields}, text string, n_chars long")

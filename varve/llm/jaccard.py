@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from varve.llm.components import components
 from varve.llm.workers import tidy
-from varve.session import few, remove, stash
+from varve.session import few, remove, small_batches, stash
 
 NGRAM, PERCENT = 4, 85
 #: Cells of the frequency table, whose size bounds what is broadcast, and bands of the suffix filter.
@@ -243,6 +243,7 @@ def links(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, cells: int =
     components: every two that are similar are in one component.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sig, sig_path = stash(signatures(docs, n, percent, _sketch(docs, n, cells)), "signatures")
     # one row for each distinct set: the first one, by id, a null id last
     first = F.min(F.struct(F.col("doc").isNull().alias("no"), "doc", "row", "t")).alias("k")

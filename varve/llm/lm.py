@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.llm.workers import tidy
-from varve.session import stash
+from varve.session import small_batches, stash
 
 HEAD = 1 << 18
 CLASSES, MEMBERS, TAILS, UNITS = 48, 32, 16, 16
@@ -490,6 +490,7 @@ def _scored(rows: DataFrame, weights) -> DataFrame:
 def score(docs: DataFrame) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs (id, text); scores are log10 of probabilities."""
     spark = docs.sparkSession
+    small_batches(spark)
     counts, _ = stash(count(docs.where(split_of(F.col("id")) != 0)), "counts")
     voc, least = vocabulary(counts)
     shared = spark.sparkContext.broadcast(voc)

@@ -16,6 +16,7 @@ each; a null id stays null; an empty table gives no rows; extra columns are drop
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -25,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varve.llm.workers import Idle
+from varve.session import small_batches
 
 LONGEST = 2048
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of one generation of a worker's tables of words and of their parts, what an entry costs beside its own bytes, and rows that are looked up at a time.
-CACHE, PARTS, ENTRY, ROWS = 40 << 20, 24 << 20, 160, 256
+CACHE, PARTS, ENTRY, ROWS = 32 << 20, 16 << 20, 160, 256
 
 _PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+").fullmatch
 # how this vocabulary's file cuts lower-case Latin text into parts
@@ -73,22 +75,17 @@ class Encoder:
     def _new(self, missing: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words that the table lacks."""
         text = [m.decode() for m in missing]
-        cut = [_PARTS(x.lower()) if _PLAIN(x) and "<|" not in x else (x,) for x in text]
-        of = self.parts.find({p for ps in cut for p in ps}, self._learn)
-        return {m: of[ps[0]] if len(ps) == 1 else b"".join(map(of.__getitem__, ps)) for m, ps in zip(missing, cut, strict=True)}
+        # words of Latin letters alone are a part by themselves
+        cut = [(x.lower(),) if x.isascii() and x.isalpha() else _PARTS(x.lower()) if _PLAIN(x) and "<|" not in x else (x,) for x in text]
+        of = self.parts.find(set(itertools.chain.from_iterable(cut)), self._learn)
+        get = of.__getitem__
+        return {m: get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for m, ps in zip(missing, cut, strict=True)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [(x or "").encode().split() for x in texts]
-        get = self.words.young.get
-        rows = [list(map(get, ws)) for ws in split]
-        lacking = [k for k, row in enumerate(rows) if None in row]
-        if lacking:
-            got = self.words.find({w for k in lacking for w, v in zip(split[k], rows[k], strict=True) if v is None}, self._new)
-            for k in lacking:
-                again = list(map(get, split[k]))
-                # what became old just now is neither young nor new
-                rows[k] = again if None not in again else [got.get(w, v) for w, v in zip(split[k], rows[k], strict=True)]
-        return [b"".join(row) for row in rows]
+        of = self.words.find(set().union(*split), self._new)
+        get = of.__getitem__
+        return [b"".join(map(get, ws)) for ws in split]
 
 
 class Table:
@@ -98,25 +95,23 @@ class Table:
         self.limit, self.young, self.old, self.size = limit, {}, {}, 0
 
     def clear(self) -> None:
-        self.young.clear()
-        self.old, self.size = {}, 0
+        self.young, self.old, self.size = {}, {}, 0
 
     def find(self, names: set, make) -> dict:
-        """Has at least the values of names; those that are in neither half come from make(list of names)."""
-        rest = names.difference(self.young)
+        """A table that has names; values that are in neither half come from make(list of names)."""
+        young = self.young
+        rest = names.difference(young)
+        if not rest:
+            return young
         held = rest.intersection(self.old)
         more = make(list(rest - held if held else rest))
         if held:
             more.update(zip(held, map(self.old.__getitem__, held), strict=True))
-        size = ENTRY * len(more) + sum(map(len, more)) + sum(map(len, more.values()))
-        got = more if len(rest) == len(names) else {**dict(zip(names, map(self.young.get, names), strict=True)), **more}
+        young.update(more)
+        self.size += ENTRY * len(more) + sum(map(len, more)) + sum(map(len, more.values()))
         if self.size > self.limit:
-            # cleared in place: callers hold the young half's own lookup
-            self.old, self.size = dict(self.young), 0
-            self.young.clear()
-        self.young.update(more)
-        self.size += size
-        return got
+            self.old, self.young, self.size = young, {}, 0
+        return young
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -171,6 +166,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", lo
             ["doc_id", "start", "length", "ids", "doc_tokens"],
         )
 
+    small_batches(docs.sparkSession)
     out = docs.select(F.col(key), F.col(text)).mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long")
     return out.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
