@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.operators.ordered import ranked
@@ -48,10 +51,33 @@ def encoded_size(key_len: Column, value_len: Column, vtype: Column) -> Column:
     return 1 + body + F.when(vtype == VALUE, varint_length(value_len) + value_len).otherwise(0)
 
 
-def group_commit(batches: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
-    """(pos, size, group_no) of queued batches (pos, size): groups of consecutive batches by running bytes."""
-    before = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return batches.withColumn("group_no", F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / F.lit(limit)).cast("long"))
+def group_commit(batches: DataFrame, limit: int = GROUP_LIMIT, small: int = SMALL_FIRST) -> DataFrame:
+    """(queue, pos, size, sync, group_no) of queued batches (queue, pos, size, sync): what is committed together.
+
+    A group takes the batches behind its first while their bytes stay within ``limit``, or within the first's
+    own and ``small`` if that is no bigger than ``small``; a synced batch never joins a group that is not
+    synced. Where a group ends depends on all before it, so each queue is one fold in the order of pos that
+    holds one group's numbers; queues are dealt out.
+    """
+
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queue, number, total, most, synced = object(), 0, 0, 0, False
+        for b in parts:
+            out = []
+            for q, size, sync in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                fits = q == queue and total + size <= most and not (sync and not synced)
+                if fits:
+                    total += size
+                else:
+                    number = number + 1 if q == queue else 0
+                    queue, total, synced = q, size, bool(sync)
+                    most = size + small if size <= small else limit
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "group_no"])
+
+    kinds = ", ".join(f"{c} {batches.schema[c].dataType.simpleString()}" for c in ("queue", "pos", "size", "sync"))
+    rows = batches.select("queue", "pos", "size", "sync").repartition("queue").sortWithinPartitions("queue", "pos")
+    return rows.mapInArrow(fold, f"{kinds}, group_no long")
 
 
 def room_for_write(level0_files: int, memtable_full: bool, immutable_pending: bool, slowdown: int = 8, stop: int = 12, delayed: bool = False) -> str:

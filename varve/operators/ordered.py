@@ -1,8 +1,9 @@
 """Global order without a single task: ranks, neighbours and nearest keys.
 
-Rows are dealt to key ranges by split points taken from a bounded, hash-ordered sample of the keys; the
-range of a row is an expression of its key, so every use of it agrees. Windows run inside ranges, and one
-small row for each range carries what crosses its border.
+Rows are dealt to ranges of their order by split points from a bounded sample of the rows, taken by the hash
+of all that orders them: rows weigh alike, so a key with many versions gets as many ranges as its rows need,
+split by what orders rows of one key. The range of a row is an expression of its order, so every use of it
+agrees. Windows run inside ranges, and one small row for each range carries what crosses its border.
 """
 
 from __future__ import annotations
@@ -13,27 +14,43 @@ from pyspark.sql import functions as F
 SAMPLE, RANGES = 4096, 64
 
 
-def ranges(df: DataFrame, key: str, n: int = RANGES) -> Column:
-    """Range number of a row by its key; nulls go to the first range."""
-    some = sorted({r[0] for r in df.where(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key)).limit(SAMPLE).collect()})
+def ranges(df: DataFrame, key: str, *ties: Column, n: int = RANGES) -> Column:
+    """Range number of a row by its key, then ties (ascending); nulls go to the first range. Without ties keys must be few times the same."""
+    place = F.struct(F.col(key).alias("k"), *[t.alias(f"t{i}") for i, t in enumerate(ties)])
+    picked = df.where(F.col(key).isNotNull()).select(place.alias("p")).orderBy(F.xxhash64("p")).limit(SAMPLE)
+    some = sorted({tuple(r[0]) for r in picked.collect()})
     if len(some) < 2 * n:
         n = max(1, len(some) // 2)
     cuts = [some[len(some) * k // n] for k in range(1, n)] if some else []
     if not cuts:
         return F.lit(0)
-    kind = df.schema[key].dataType
-    points = F.array(*[F.lit(c).cast(kind) for c in cuts])
-    return F.coalesce(F.size(F.filter(points, lambda c: c <= F.col(key))), F.lit(0))
+    kinds = picked.schema["p"].dataType.fields
+    points = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(c, kinds, strict=True)]) for c in cuts])
+    return F.coalesce(F.when(F.col(key).isNotNull(), F.size(F.filter(points, lambda c: c <= place))), F.lit(0))
 
 
-def ranked(df: DataFrame, key: str, *ties: Column, name: str = "rank") -> DataFrame:
-    """df with its 1-based global rank by key, then ties."""
-    parts = df.withColumn("_part", ranges(df, key))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(F.col(key), *ties))
+def running(df: DataFrame, amount: Column, key: str, *ties: Column, name: str) -> DataFrame:
+    """df with the sum of amount over all rows before it by key, then ties (ascending)."""
+    parts = df.withColumns({"_part": ranges(df, key, *ties), "_amount": amount.cast("long")})
+    own = Window.partitionBy("_part").orderBy(F.col(key), *ties).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offset = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    out = parts.withColumn("_in", inside).join(F.broadcast(offset), "_part")  # a row for each of RANGES
-    return out.withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_part", "_n", "_before", "_in")
+    carry = parts.groupBy("_part").agg(F.sum("_amount").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_carried"))
+    out = parts.withColumn("_in", F.coalesce(F.sum("_amount").over(own), F.lit(0))).join(F.broadcast(carry), "_part")  # a row for each of RANGES
+    return out.withColumn(name, (F.col("_carried") + F.col("_in")).cast("long")).drop("_part", "_amount", "_carried", "_in")
+
+
+def ranked(df: DataFrame, key: str, *ties: Column, name: str = "rank") -> DataFrame:
+    """df with its 1-based global rank by key, then ties (ascending)."""
+    return running(df, F.lit(1), key, *ties, name=name).withColumn(name, F.col(name) + 1)
+
+
+def merged(runs: list[DataFrame], key: str = "user_key") -> DataFrame:
+    """Rows of runs in one order, with ``run`` (a run's place in the list) and ``rank``: by key, of equal keys the earlier run first."""
+    numbered = [r.withColumn("run", F.lit(k)) for k, r in enumerate(runs)]
+    every = numbered[0]
+    for r in numbered[1:]:
+        every = every.unionByName(r)
+    return ranked(every, key, F.col("run"))
 
 
 def neighbours(df: DataFrame, key: str) -> DataFrame:

@@ -111,10 +111,11 @@ def tombstoned_keys(spark, d):
     return R.newest(log(spark, d)).where("vtype = 0").select("user_key", "seq", "vtype")
 
 
-@query(f"SELECT * FROM {live_sql(HALF)} WHERE user_key = 7")
+@query(f"SELECT * FROM {live_sql(HALF)} WHERE user_key = (SELECT min(user_key) FROM {live_sql(HALF)})")
 def get_as_of(spark, d):
+    """The first key that was alive then."""
     e = log(spark, d)
-    return R.get(e, 7, half(e)).select("user_key", "seq", "value")
+    return R.get(e, R.resolve(e, half(e)).agg(F.min("user_key")).first()[0], half(e)).select("user_key", "seq", "value")
 
 
 @query(f"SELECT * FROM {live_sql(HALF)}")
@@ -135,9 +136,9 @@ def snapshot_diff(spark, d):
     return C.snapshot_diff(R.resolve(e, half(e)), R.resolve(e))
 
 
-@query(f"SELECT * FROM {live_sql()} WHERE user_key IN (SELECT c_custkey FROM customer WHERE c_custkey % 11 = 0)")
+@query(f"SELECT * FROM {live_sql()} WHERE user_key IN (SELECT c_custkey FROM customer)")
 def multi_get(spark, d):
-    keys = table(spark, d, "customer").where("c_custkey % 11 = 0").select(F.col("c_custkey").alias("user_key"))
+    keys = table(spark, d, "customer").select(F.col("c_custkey").alias("user_key"))
     return R.multi_get(log(spark, d), keys).select("user_key", "seq", "value")
 
 
@@ -218,12 +219,23 @@ def batch_append(spark, d):
     return BA.append(left, right)
 
 
-@query("""SELECT pos, size, CAST(coalesce(sum(size) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 4096 AS BIGINT) AS group_no
-FROM (SELECT s_suppkey AS pos, CAST(12 + 1 + 1 + 8 + 1 + length(s_name) AS BIGINT) AS size FROM supplier)""")
+_QUEUED = "(SELECT queue, sync, size, row_number() OVER (PARTITION BY queue ORDER BY o) AS pos FROM (SELECT o_custkey % 10 AS queue, o_orderkey AS o, o_orderkey % 5 = 0 AS sync, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders))"
+
+
+@query(f"""WITH RECURSIVE q AS (SELECT * FROM {_QUEUED}), g AS (
+  SELECT queue, pos, size, sync, 0::BIGINT AS group_no, size AS total, CASE WHEN size <= {128 << 10} THEN size + {128 << 10} ELSE {1 << 20} END AS most, sync AS lead FROM q WHERE pos = 1
+  UNION ALL
+  SELECT queue, pos, size, sync, CASE WHEN fits THEN group_no ELSE group_no + 1 END, CASE WHEN fits THEN total + size ELSE size END,
+    CASE WHEN fits THEN most WHEN size <= {128 << 10} THEN size + {128 << 10} ELSE {1 << 20} END, CASE WHEN fits THEN lead ELSE sync END
+  FROM (SELECT q.*, g.group_no, g.total, g.most, g.lead, g.total + q.size <= g.most AND NOT (q.sync AND NOT g.lead) AS fits FROM g JOIN q ON q.queue = g.queue AND q.pos = g.pos + 1)
+) SELECT queue, pos, size, sync, group_no FROM g""")
 def group_commit(spark, d):
-    s = table(spark, d, "supplier")
-    size = F.lit(BA.HEADER) + BA.encoded_size(F.lit(8), F.length("s_name"), F.lit(1))
-    return BA.group_commit(s.select(F.col("s_suppkey").alias("pos"), size.cast("long").alias("size")), 4096)
+    """Orders as batches of as many bytes as they cost, queued by customer."""
+    from pyspark.sql import Window
+
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 10).alias("queue"), "o_orderkey", (F.col("o_orderkey") % 5 == 0).alias("sync"), F.floor("o_totalprice").cast("long").alias("size"))
+    place = F.row_number().over(Window.partitionBy("queue").orderBy("o_orderkey")).cast("long")
+    return BA.group_commit(o.withColumn("pos", place))
 
 
 # ---- runs, files, levels ----
@@ -234,12 +246,14 @@ def kmerge_runs(spark, d):
     e = log(spark, d).select("user_key", "seq")
     parts = [e.where(F.col("seq") % 4 == k) for k in range(4)]
     merged = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return O.ranked(merged, "user_key", F.col("seq").desc())
+    return O.ranked(merged, "user_key", -F.col("seq"))
 
 
-@query(f"SELECT user_key, min(run) AS run FROM (SELECT user_key, seq % 4 AS run FROM {LOG}) GROUP BY user_key")
+@query(f"SELECT user_key, CAST(run AS INT) AS run, row_number() OVER (ORDER BY user_key, run) AS rank FROM (SELECT DISTINCT user_key, seq % 4 AS run FROM {LOG})")
 def merge_tie(spark, d):
-    return log(spark, d).groupBy("user_key").agg(F.min(F.col("seq") % 4).alias("run"))
+    """Runs that hold equal keys: the earlier run's key comes first."""
+    e = log(spark, d)
+    return O.merged([e.where(F.col("seq") % 4 == k).select("user_key").distinct() for k in range(4)])
 
 
 @query(f"SELECT * FROM {META}")
@@ -325,10 +339,16 @@ def trivial_move(spark, d):
     return M.trivial_moves(meta(spark, d), 10 * M.MAX_FILE)
 
 
-@query(f"""SELECT m.file_no FROM {META} m WHERE EXISTS (SELECT 1 FROM {META} c WHERE c.file_no % 2 = 0 AND c.level = m.level AND c.largest_key = m.smallest_key AND m.smallest_seq < c.largest_seq)
+_CUT = f"""(SELECT 1 AS level, rn // 40 AS file_no, min(user_key) AS smallest_key, arg_min(seq, rn) AS smallest_seq, max(user_key) AS largest_key, arg_max(seq, rn) AS largest_seq
+FROM (SELECT user_key, seq, row_number() OVER (ORDER BY user_key, seq DESC) - 1 AS rn FROM {LOG}) GROUP BY rn // 40)"""
+
+
+@query(f"""SELECT m.file_no FROM {_CUT} m WHERE EXISTS (SELECT 1 FROM {_CUT} c WHERE c.file_no % 2 = 0 AND c.largest_key = m.smallest_key AND m.smallest_seq < c.largest_seq)
 AND NOT (m.file_no % 2 = 0)""")
 def boundary_files(spark, d):
-    m = meta(spark, d)
+    """Files of 40 rows each, so that versions of a key go on in the next one."""
+    rows = C.split_rows(log(spark, d), F.lit(ENTRY_BYTES), 40 * ENTRY_BYTES).withColumns({"level": F.lit(1), "file_no": F.col("out_no")})
+    m = M.file_meta(rows, F.lit(ENTRY_BYTES))
     return M.boundary_files(m, m.where("file_no % 2 = 0"))
 
 
@@ -456,18 +476,51 @@ def key_successor(spark, d):
     return table(spark, d, "customer").select(F.col("c_name").alias("key"), F.decode(B.successor(F.encode("c_name", "UTF-8")), "UTF-8").alias("succ")).distinct()
 
 
-@query()
+def _bytes_sql(k: str) -> str:
+    """The bytes of an ASCII text as numbers."""
+    return f"list_transform(range(1, length({k}) + 1), lambda i: ord(substr({k}, i, 1))::BIGINT)"
+
+
+def _crc_sql(k: str) -> str:
+    """CRC-32 bit by bit."""
+    step = "list_reduce(list_concat([xor(c, b)], range(8)), lambda h, j: CASE WHEN h & 1 = 1 THEN xor(h >> 1, 3988292384) ELSE h >> 1 END)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {_bytes_sql(k)}), lambda c, b: {step}), 4294967295)"
+
+
+_MASK = "(((crc >> 15) | ((crc << 17) & 4294967295)) + 2726488792) & 4294967295"
+
+
+@query(f"SELECT event_id, crc, {_MASK} AS masked, crc AS back FROM (SELECT event_id, {_crc_sql('k')} AS crc FROM (SELECT event_id, user_id::VARCHAR AS k FROM events))")
 def crc_mask(spark, d):
     k = _keys(spark, d).select("event_id", F.crc32("key").alias("crc"))
     return k.select("event_id", "crc", B.mask(F.col("crc")).alias("masked"), B.unmask(B.mask(F.col("crc"))).alias("back"))
 
 
-@query()
+def _hash_sql(b: str, n: str, seed: int) -> str:
+    """The 32-bit block hash of a list of bytes: whole words, then what is left."""
+    word = f"({b}[i + 1] + ({b}[i + 2] << 8) + ({b}[i + 3] << 16) + ({b}[i + 4] << 24))"
+    times = lambda x: f"((({x}) * {0xC6A4A793}::HUGEINT) % 4294967296)::BIGINT"
+    shift = lambda x, by: f"list_transform([{x}], lambda v: xor(v, v >> {by}))[1]"
+    start = f"xor({seed}::BIGINT, {times(n)})"
+    body = f"list_reduce(list_concat([{start}], list_transform(range(0, {n} - {n} % 4, 4), lambda i: {word}::BIGINT)), lambda h, w: {shift(times('((h + w) & 4294967295)'), 16)})"
+    rest = f"coalesce(list_sum(list_transform(range(0, {n} % 4), lambda i: {b}[{n} - {n} % 4 + i + 1] << (8 * i))), 0)::BIGINT"
+    return f"CASE WHEN {n} % 4 = 0 THEN {body} ELSE {shift(times(f'(({body}) + {rest}) & 4294967295'), 24)} END"
+
+
+@query(f"SELECT event_id, {_hash_sql('b', 'len(b)', 0xBC9F1D34)} AS h FROM (SELECT event_id, {_bytes_sql('user_id::VARCHAR')} AS b FROM events)")
 def hash32(spark, d):
     return _keys(spark, d).select("event_id", B.hash32(F.col("key"), 0xBC9F1D34).alias("h"))
 
 
-@query()
+_PROBES = "list_transform(range(6), lambda j: ((h + j * ((h >> 17) | ((h << 15) & 4294967295))) & 4294967295) % n_bits)"
+
+
+@query(f"""WITH r AS (SELECT DISTINCT user_id // 10 + 100000 AS file_no, user_id::VARCHAR AS key FROM events),
+hashed AS (SELECT key, {_hash_sql('b', 'len(b)', BF.BLOOM_SEED)} AS h FROM (SELECT key, {_bytes_sql('key')} AS b FROM (SELECT DISTINCT key FROM r))),
+n AS (SELECT file_no, (greatest(count(*) * 10, 64) + 7) // 8 * 8 AS n_bits FROM r GROUP BY file_no),
+built AS (SELECT file_no, n_bits, list(DISTINCT bit) AS bits FROM (SELECT r.file_no, n_bits, unnest({_PROBES}) AS bit FROM r JOIN hashed USING (key) JOIN n ON n.file_no = r.file_no) GROUP BY file_no, n_bits),
+asks AS (SELECT key, h, key::BIGINT // 10 + 100000 + ({_crc_sql('key')}) % 2 AS file_no FROM hashed)
+SELECT a.file_no, a.key, list_has_all(bits, {_PROBES}) AS maybe, EXISTS (SELECT 1 FROM r WHERE r.file_no = a.file_no AND r.key = a.key) AS present FROM asks a JOIN built b ON b.file_no = a.file_no""")
 def bloom_probe(spark, d):
     """Each key against the filter of every run at level 1 that could hold it, and whether it is there."""
     r = runs(spark, d).where("level = 1").select("file_no", F.encode(F.col("user_key").cast("string"), "UTF-8").alias("key")).distinct()
