@@ -154,3 +154,26 @@ def test_boundary_and_pick():
 def test_fold_edits(spark):
     edits = spark.createDataFrame([(1, "add", 0, 5), (2, "delete", 0, 5), (2, "add", 1, 5), (3, "delete", 1, 5), (3, "add", 1, 5), (4, "add", 0, 6), (5, "delete", 0, 6)], "edit_id long, action string, level int, file_no long")
     assert {tuple(r) for r in M.fold_edits(edits).collect()} == {(1, 5)}
+
+
+def test_ranges_hold_under_hot_keys(spark):
+    many = spark.range(200_000).selectExpr("id % 2000 as k", "id as seq")
+    hot = spark.range(200_000).selectExpr("case when id < 20000 then 7 else id end as k", "id as seq")
+    for df in (many, hot):
+        sizes = [r["count"] for r in df.withColumn("p", O.ranges(df, "k", -F.col("seq"))).groupBy("p").count().collect()]
+        assert len(sizes) == O.RANGES and max(sizes) < 3 * 200_000 / O.RANGES
+
+
+def test_groups_of_batches(spark):
+    rows = [(0, i, 400_000, False) for i in range(8)] + [(1, 0, 100, False), (1, 1, 130_000, False), (1, 2, 2_000, False), (1, 3, 10, True), (1, 4, 10, False)]
+    got = {(r["queue"], r["pos"]): r["group_no"] for r in BA.group_commit(spark.createDataFrame(rows, "queue int, pos long, size long, sync boolean")).collect()}
+    assert [got[0, i] for i in range(8)] == [0, 0, 1, 1, 2, 2, 3, 3] and [got[1, i] for i in range(5)] == [0, 0, 1, 2, 2]
+
+
+def test_outputs_end_behind_grandparents(spark):
+    from varve.operators import compact
+
+    assert compact.grandparent_cuts([(b"b", 5), (b"d", 6), (b"f", 3)], 10) == [b"d"]
+    df = spark.createDataFrame([(k, 1) for k in range(10)], "user_key long, seq long")
+    got = {r["user_key"]: r["out_no"] for r in compact.split_outputs(df, F.lit(10), 30, cuts=[3]).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 2, 5: 2, 6: 2, 7: 3, 8: 3, 9: 3}

@@ -81,13 +81,64 @@ def test_recovery_and_open_modes(spark, tmp_path):
         assert (s.get(b"a"), s.get(b"b"), s.last_sequence) == (None, b"2", 3)
         s.folder.remove(s._run(s.version.files[0].number))
     with pytest.raises(StoreError, match="missing file"):
-        Store.open(spark, path, paranoid=True)
-    Store.open(spark, path).close()
+        Store.open(spark, path)
+    with Store.open(spark, path, paranoid=False) as s, pytest.raises(StoreError, match="read only"):
+        s.put(b"x", b"1")
     Store.destroy(spark, path)
     with pytest.raises(StoreError, match="does not exist"):
         Store.open(spark, path)
 
 
+def test_recovery_after_a_crash(spark, tmp_path):
+    path = str(tmp_path / "db")
+    one = Store.open(spark, path, create_if_missing=True)
+    one.put(b"a", b"1")
+    append, one._append = one._append, lambda edit: (_ for _ in ()).throw(OSError("disk"))
+    with pytest.raises(OSError):
+        one.put(b"b", b"2")  # the log is whole, its edit is not there
+    one._append = append
+    with pytest.raises(StoreError, match="failed"):
+        one.put(b"c", b"3")
+    with pytest.raises(StoreError, match="locked"):
+        Store.open(spark, path)
+    with Store.open(spark, path, force=True) as two:
+        assert (two.get(b"a"), two.get(b"b"), two.get(b"c"), two.last_sequence) == (b"1", b"2", None, 2)
+        one.error = None
+        with pytest.raises(StoreError, match="taken over"):
+            one.put(b"d", b"4")
+        edit = f"MANIFEST-000000/{two._edit:012d}.json"
+        two.folder.write(edit, '{"logs": []}')
+    with pytest.raises(StoreError, match="corrupt manifest"):
+        Store.open(spark, path)
+
+
+def test_a_comparator_orders_the_store(spark, tmp_path):
+    with Store.open(spark, str(tmp_path / "db"), create_if_missing=True, comparator=HEX_NUMBER) as s:
+        s.write([(b"9", b"nine"), (b"0x10", b"sixteen"), (b"a", b"ten"), (b"0x2", b"two")])
+        s.flush()
+        s.write([(b"10", b"again"), (b"0xff", b"much")])
+        assert [bytes(r[0]) for r in s.scan().collect()] == [b"0x2", b"9", b"a", b"10", b"0xff"]
+        assert [bytes(r[1]) for r in s.scan(b"9", b"0x10").collect()] == [b"nine", b"ten", b"again"]
+        s.compact_range()
+        assert s.get(b"0x10") == b"again" and s.get(b"0x09") == b"nine" and s.get(b"11") is None
+        assert len(s.versions(b"16"[:0] + b"10")) == 1
+
+
+def test_room_seeks_and_cuts(spark, tmp_path):
+    with Store.open(spark, str(tmp_path / "db"), create_if_missing=True, auto=True, limits=Limits(write_buffer=1, flush_file=120, max_file=100)) as s:
+        s.write([(b"hot", b"x" * 40)] * 8 + [(b"zoo", b"1")])
+        s.put(b"hot", b"new")  # flushes first
+        assert len(s.version.files) > 2 and not s.version.level(0)  # one key goes on over files
+        s.flush()
+        assert s.get(b"hot") == b"new" and len(s.versions(b"hot")) == 9
+        first = next(s.version.for_each_overlapping(b"hot"))
+        s.seeks.left[first.number] = 1
+        assert s.record_read_sample(b"hot") and s.seeks.sought == first
+        assert s.compact_once() and s.get(b"hot") == b"new"
+        s.compact_range()
+        assert s.versions(b"hot") == [b"new"] and sum(x.bytes_written for x in s.stats) > 0
+
+
 def test_stream(spark, store, tmp_path):
     from varve.streaming.ingest import ingest
 

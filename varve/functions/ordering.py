@@ -11,10 +11,16 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Comparator:
-    """order: a key column to an expression that sorts as the comparator does."""
+    """order: a key column to an expression that sorts as the comparator does.
+
+    sortable and sortable_key: the same order as bytes, as an expression and of one key. Keys with equal bytes
+    are one key to a store.
+    """
 
     name: str
     order: Callable[[Column], Column]
+    sortable: Callable[[Column], Column] = lambda k: k
+    sortable_key: Callable[[bytes], bytes] = bytes
 
     def internal(self, key: str = "user_key") -> list[Column]:
         """Internal order: user key ascending, then the newest version first; the type does not count."""
@@ -24,7 +30,12 @@ class Comparator:
 #: Unsigned bytes, a prefix before what it begins: how BINARY sorts.
 BYTEWISE = Comparator("bytewise", lambda k: k)
 #: Keys that are hexadecimal numbers in text.
-HEX_NUMBER = Comparator("hex-number", lambda k: F.conv(F.regexp_replace(k.cast("string"), "^0[xX]", ""), 16, 10).cast("decimal(20,0)"))
+HEX_NUMBER = Comparator(
+    "hex-number",
+    lambda k: F.conv(F.regexp_replace(k.cast("string"), "^0[xX]", ""), 16, 10).cast("decimal(20,0)"),
+    lambda k: F.unhex(F.lpad(F.regexp_replace(k.cast("string"), "^(?:0[xX])?0*", ""), 16, "0")),
+    lambda k: int(k.decode(), 16).to_bytes(8, "big"),
+)
 
 
 def suffixed(width: int) -> Comparator:

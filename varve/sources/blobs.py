@@ -39,14 +39,31 @@ def read_tables(spark: SparkSession, path: str, verify: bool = True) -> DataFram
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ENTRY)
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of write-ahead logs, batches applied with their sequence numbers; damaged records are left out."""
+def log_damage(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, reason) of what readers of these logs have to drop."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                drops: list[tuple[int, str]] = []
+                for _ in codec.decode_log(raw, drops):
+                    pass
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(drops), pa.string()), pa.array([n for n, _ in drops], pa.int64()), pa.array([w for _, w in drops], pa.string())], ["path", "bytes", "reason"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, bytes long, reason string")
+
+
+def read_logs(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Entries of write-ahead logs, batches applied with their sequence numbers; damaged records are left out (strict: raise Corruption), see ``log_damage``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raw in b.column(0).to_pylist():
-                for record in codec.decode_log(raw):
+                drops: list[tuple[int, str]] = []
+                for record in codec.decode_log(raw, drops):
                     yield _entries(codec.decode_batch(record))
+                if strict and drops:
+                    raise codec.Corruption(f"damaged log: {drops}")
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ENTRY)
 

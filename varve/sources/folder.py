@@ -34,10 +34,14 @@ class Folder:
     def remove(self, name: str = "") -> None:
         self._fs.delete(self._path(name), True)
 
-    def create_exclusive(self, name: str) -> bool:
+    def create_exclusive(self, name: str, text: str = "") -> bool:
         """False if it exists."""
         try:
-            self._fs.create(self._path(name), False).close()
+            out = self._fs.create(self._path(name), False)
+            try:
+                out.write(bytearray(text.encode()))
+            finally:
+                out.close()
         except Exception as e:  # noqa: BLE001 - the JVM's exception type comes through py4j
             if "AlreadyExists" in str(e) or "already exists" in str(e):
                 return False
@@ -52,10 +56,11 @@ class Folder:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        if self.exists(name):
-            self._fs.delete(self._path(name), False)
-        if not self._fs.rename(temp, self._path(name)):
-            raise OSError(f"can't rename to {name}")
+        # one step that replaces: a reader sees the old text or the new one
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        whole = self._fs.makeQualified(temp)
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(whole, self._fs.makeQualified(self._path(name)), options)
 
     def read(self, name: str) -> str:
         stream = self._fs.open(self._path(name))
