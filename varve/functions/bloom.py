@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
-from varve.functions.bytes import BLOOM_SEED, WORD32, _let, hash32
+from varve.functions.bytes import BLOOM_SEED, HASH_MULTIPLIER, WORD32, _let, hash32
 
 LEAST_BITS = 64
 
@@ -43,3 +43,44 @@ def may_contain(key: Column, n_bits: Column, bits: Column, k: int) -> Column:
 def stored(writer: DataFrameWriter, key: str = "user_key", keys: int = 100_000) -> DataFrameWriter:
     """Parquet's own bloom filter on the key column of a run."""
     return writer.option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.expected.ndv#{key}", str(keys))
+
+
+class Bloom:
+    """The same filters as bytes, for table files: bits low to high, then the number of probes."""
+
+    name = "BloomFilter"  # fixed value: under this name tables keep such filters
+
+    def __init__(self, bits_per_key: int = 10):
+        self.bits_per_key, self.k = bits_per_key, probes_per_key(bits_per_key)
+
+    @staticmethod
+    def _hash(key: bytes) -> int:
+        h = BLOOM_SEED ^ (len(key) * HASH_MULTIPLIER & WORD32)
+        whole = len(key) - len(key) % 4
+        for i in range(0, whole, 4):
+            h = (h + int.from_bytes(key[i : i + 4], "little")) * HASH_MULTIPLIER & WORD32
+            h ^= h >> 16
+        if whole < len(key):
+            h = (h + int.from_bytes(key[whole:], "little")) * HASH_MULTIPLIER & WORD32
+            h ^= h >> 24
+        return h
+
+    def _bits(self, key: bytes, n_bits: int, k: int) -> list[int]:
+        h = self._hash(key)
+        step = (h >> 17 | h << 15) & WORD32
+        return [((h + j * step) & WORD32) % n_bits for j in range(k)]
+
+    def build(self, keys: list[bytes]) -> bytes:
+        size = (max(LEAST_BITS, len(keys) * self.bits_per_key) + 7) // 8
+        out = bytearray(size)
+        for key in keys:
+            for b in self._bits(key, 8 * size, self.k):
+                out[b // 8] |= 1 << b % 8
+        return bytes(out) + bytes([self.k])
+
+    def may_contain(self, bits: bytes, key: bytes) -> bool:
+        if len(bits) < 2:
+            return False
+        if bits[-1] > 30:
+            return True
+        return all(bits[b // 8] >> b % 8 & 1 for b in self._bits(key, 8 * (len(bits) - 1), bits[-1]))
