@@ -284,11 +284,22 @@ def test_the_word_table_may_run_over():
     small, large = packing.Encoder(path, 600, 600), packing.Encoder(path)
     texts = [f"alpha beta{i} gamma{i % 3} é{i}" for i in range(20)]
     assert [small.encode([t])[0] for t in texts] == large.encode(texts)
-    assert small.words.old and len(small.words.young) < 10
+    assert small.words.old and len(small.words) < 10
     small.forget()
+    assert not small.words and not small.words.old and not small.words.size
     assert small.encode(texts) == large.encode(texts)
 
 
+def test_words_cut_here_have_the_tokenizers_ids():
+    e = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
+    rng = np.random.default_rng(7)
+    signs = [chr(c) for c in [*range(0x21, 0x7F), *range(0xC0, 0x100)]] + ["'s", "'LL", "'d", "<|", "e", "t", "in", "on"]
+    words = ["".join(signs[k] for k in rng.integers(0, len(signs), rng.integers(1, 9))) for _ in range(4000)]
+    words += [chr(c) for c in range(0xC0, 0x100)]
+    for word, ids in zip(words, e.encode(words), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == e.t.encode(word, add_special_tokens=False).ids, word
+
+
 def test_idle_tables_are_released():
     from varve.llm.workers import Idle
 

@@ -5,7 +5,7 @@ of the largest length as fit, then the binary digits of the rest, large to small
 form a bucket, and each piece is a training sequence by itself: no sequence crosses documents and nothing
 is padded, since every length is a power of two. The work is one pass over the documents without a shuffle.
 
-Words between ASCII white space are tokenised once and kept in a table in each Python worker, of bounded
+Words between ASCII white space are tokenised when first met and kept in a table in each Python worker, of bounded
 bytes and in two generations, so that words in use outlive it when it is full: this vocabulary's rules
 never look across white space. Words of plain Latin letters, digits and signs are cut
 into the tokenizer's own parts first, so that a word with and without signs is learnt once.
@@ -16,9 +16,9 @@ each; a null id stays null; an empty table gives no rows; extra columns are drop
 
 from __future__ import annotations
 
-import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -38,80 +38,66 @@ _PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+").fullmatch
 # how this vocabulary's file cuts lower-case Latin text into parts
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
 
+# the sign this vocabulary has for a byte: the byte's own where it shows and is no space, else the next one from 256 on
+_HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+_SIGNS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+
+
+class Table(dict):
+    """Values by name, made when first asked for, of bounded bytes: when full it becomes the old half, and what is asked for again is taken from there."""
+
+    def __init__(self, limit: int, make: Callable[[bytes | str], bytes]):
+        super().__init__()
+        self.limit, self.make, self.old, self.size = limit, make, {}, 0
+
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.size = {}, 0
+
+    def __missing__(self, name: bytes | str) -> bytes:
+        value = self.old.get(name)
+        if value is None:
+            value = self.make(name)
+        self.size += ENTRY + len(name) + len(value)
+        if self.size > self.limit:
+            self.old, self.size = dict(self), 0
+            self.clear()
+        self[name] = value
+        return value
+
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes, words remembered."""
+    """Token ids of texts as little-endian 32-bit bytes, words and their parts remembered."""
 
     def __init__(self, path: str, limit: int = CACHE, parts: int = PARTS):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.words, self.parts = Table(limit), Table(parts)
+        self.merge = self.t.model.tokenize
+        self.words, self.parts = Table(limit, self._word), Table(parts, self._part)
         self.idle = Idle(self.forget)
-        # a sign that is its own token and part, set between words so that many are encoded in one call
-        self.gap = self.t.encode("\x00", add_special_tokens=False).ids
 
     def forget(self) -> None:
-        self.words.clear()
-        self.parts.clear()
-
-    def _learn(self, names: list[str]) -> dict[str, bytes]:
-        table: dict[str, bytes] = {}
-        odd = [x for x in names if "\x00" in x or "<|" in x] if len(self.gap) == 1 else names
-        for x in odd:
-            table[x] = np.array(self.t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
-        if odd:
-            names = [x for x in names if x not in table]
-        for i in range(0, len(names), 2000):
-            part = names[i : i + 2000]
-            raw = np.array(self.t.encode(" \x00 ".join(part), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(raw == self.gap[0])
-            ends, raw = [*(cut * 4).tolist(), 4 * len(raw)], raw.tobytes()
-            if len(ends) != len(part):
-                raise ValueError("the vocabulary doesn't keep words apart")
-            table.update(zip(part, (raw[a:b] for a, b in zip([0, *(x + 4 for x in ends)], ends)), strict=True))
-        return table
-
-    def _new(self, missing: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that the table lacks."""
-        text = [m.decode() for m in missing]
-        # words of Latin letters alone are a part by themselves
-        cut = [(x.lower(),) if x.isascii() and x.isalpha() else _PARTS(x.lower()) if _PLAIN(x) and "<|" not in x else (x,) for x in text]
-        of = self.parts.find(set(itertools.chain.from_iterable(cut)), self._learn)
-        get = of.__getitem__
-        return {m: get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for m, ps in zip(missing, cut, strict=True)}
+        self.words.forget()
+        self.parts.forget()
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a plain part in lower case: only the merges are left to do."""
+        ids = [t.id for t in self.merge(part if part.isascii() else part.encode().decode("latin-1").translate(_SIGNS))]
+        return pack_ids(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: bytes) -> bytes:
+        x = word.decode()
+        # a word of Latin letters alone is a part by itself
+        if x.isascii() and x.isalpha():
+            return self.parts[x.lower()]
+        if _PLAIN(x) and "<|" not in x:
+            return b"".join([self.parts[p] for p in _PARTS(x.lower())])
+        return np.array(self.t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [(x or "").encode().split() for x in texts]
-        of = self.words.find(set().union(*split), self._new)
-        get = of.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
-
-
-class Table:
-    """A table of bounded bytes: when the young half is full it becomes the old half, and what is asked for again becomes young."""
-
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old, self.size = limit, {}, {}, 0
-
-    def clear(self) -> None:
-        self.young, self.old, self.size = {}, {}, 0
-
-    def find(self, names: set, make) -> dict:
-        """A table that has names; values that are in neither half come from make(list of names)."""
-        young = self.young
-        rest = names.difference(young)
-        if not rest:
-            return young
-        held = rest.intersection(self.old)
-        more = make(list(rest - held if held else rest))
-        if held:
-            more.update(zip(held, map(self.old.__getitem__, held), strict=True))
-        young.update(more)
-        self.size += ENTRY * len(more) + sum(map(len, more)) + sum(map(len, more.values()))
-        if self.size > self.limit:
-            self.old, self.young, self.size = young, {}, 0
-        return young
+        get = self.words.__getitem__
+        return [b"".join(map(get, (x or "").encode().split())) for x in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
