@@ -246,6 +246,27 @@ def test_components_of_near_copies(spark, n, percent):
     assert sum(r["stays"] for r in got) == len(set(want.values()))
 
 
+def test_pairs_of_a_large_group_are_few(spark, monkeypatch):
+    rng, n = random.Random(6), 400
+    words = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(n):  # two with more than three changes between them are not linked directly
+        own = list(words)
+        for k in rng.sample(range(5, 195), rng.choices((0, 1, 2, 3), (1, 3, 4, 2))[0]):
+            own[k] = f"n{i}_{k}"
+        rows.append((i, " ".join(own)))
+    tested, verified = [], jaccard.verified
+
+    def counted(pairs, *more):
+        tested.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    got = {r["id"]: r["component_id"] for r in jaccard.groups(spark.createDataFrame(rows, "id long, text string"), cells=1 << 14).collect()}
+    assert got == closure({i: shingles(t, 4) for i, t in rows}, range(n), 85)
+    assert tested[-1] < 5 * n and sum(tested) < 40 * n
+
+
 def test_rows_of_one_id_keep_their_links(spark):
     long = " ".join(f"w{i}" for i in range(3000)) + " " + "x" * 100_000
     a, b = "a b c d e f", "u v w x y z"

@@ -8,9 +8,9 @@ verified once on the whole sets.
 
 Copies with equal sets are one class, and only its first document takes part. Big groups of near copies
 would have a pair for every two members, and the same links for most of them. So pairs are tested in
-turns: in each, every document is tested with one other of the documents that share its prefix elements
-(first the smallest id, then neighbours in seeded orders), links are merged to components, and the last
-turn tests every pair left that is not yet in one component. No link between components is lost.
+turns: in each, every document is tested with a few of the documents that share its prefix elements
+(first the smallest id, then ``MATES`` or more neighbours from other components in seeded orders), links are merged to components,
+and the last turn tests every pair left that is not yet in one component. No link between components is lost.
 
 Hashes are taken for words and n-grams at 64 bits, as everywhere in this folder.
 
@@ -47,7 +47,8 @@ FEW = 1_000_000
 WORDS_HELD = 150_000
 #: Texts that a worker looks at in one go.
 ROWS = 256
-TURNS = 3
+#: Turns before the last one, and documents behind it that one is tested with in the first turn after the stars; later turns have powers of it.
+TURNS, MATES = 3, 6
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _WORDS: dict[bytes, int] = {}
@@ -203,7 +204,7 @@ def whole_sets(docs: DataFrame, heads: DataFrame, n: int) -> tuple[DataFrame, st
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, counted on the whole sets."""
+    """The pairs (a, b) whose sets are similar enough, counted on the whole sets. pairs: a stashed frame."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,8 +217,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * same >= percent * (len(u) + len(v) - same))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    s = sets.select("id", "s")
-    full = pairs.select("a", "b").join(s.withColumnsRenamed({"id": "a", "s": "x"}), "a").join(s.withColumnsRenamed({"id": "b", "s": "y"}), "b")
+    # only the sets of the second join that pairs name are dealt
+    second = sets.select(F.col("id").alias("b"), F.col("s").alias("y")).join(few(pairs.select("b").distinct(), FEW), "b", "left_semi")
+    full = few(pairs.select("a", "b"), FEW).join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(second, "b")
     return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -263,7 +265,7 @@ def links(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, cells: int =
     shared, shared_path = stash(live, "shared")
     remove(spark, near_path)
     need, need_path = stash(shared.select("id").distinct(), "need")
-    some, some_path = stash(head_sig.select("id", "bands", "n").join(need, "id", "left_semi"), "bands")
+    some, some_path = stash(sig.select(F.col("row").alias("id"), "bands", "n").join(few(need, FEW), "id", "left_semi"), "bands")
     remove(spark, sig_path)
     sets, sets_path = whole_sets(docs, heads.join(need, "id", "left_semi"), n)
 
@@ -283,13 +285,14 @@ def links(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, cells: int =
             first = shared.withColumn("o", F.first(F.struct("id", "n", "pos")).over(by))
             first = first.select("id", "n", "pos", F.col("o.id").alias("mate"), F.col("o.n").alias("n0"), F.col("o.pos").alias("pos0"))
             cand = first.where("id != mate").where(_may_link(percent, "n", "n0", "pos", "pos0")).select("id", "mate")
+            pairs = filtered(best(cand).select(F.col("id").alias("a"), F.col("mate").alias("b")))
         else:
-            mixed = _mixed(shared, label)
-            order = Window.partitionBy("e").orderBy(F.xxhash64(F.lit(turn), "c"), F.xxhash64(F.lit(turn), "id"))
-            nxt = mixed.withColumn("o", F.lead(F.struct("id", "n", "pos", "c")).over(order))
-            nxt = nxt.where("o is not null").select("id", "n", "pos", "c", F.col("o.id").alias("mate"), F.col("o.n").alias("n0"), F.col("o.pos").alias("pos0"), F.col("o.c").alias("c0"))
-            cand = nxt.where("c != c0").where(_may_link(percent, "n", "n0", "pos", "pos0")).select("id", "mate")
-        pairs = filtered(best(cand).select(F.col("id").alias("a"), F.col("mate").alias("b")))
+            # the next ones in a seeded order that is the same for all elements; more of them each turn
+            order = Window.partitionBy("e").orderBy(F.xxhash64(F.lit(turn), "id"), "id").rowsBetween(1, MATES ** turn)
+            nxt = _mixed(shared, label).withColumn("o", F.collect_list(F.struct("id", "n", "pos", "c")).over(order))
+            other = F.filter("o", lambda x: (x["c"] != F.col("c")) & (F.least("n", x["n"]) * 100 >= F.greatest("n", x["n"]) * percent))
+            nxt = nxt.select("id", "n", "pos", F.explode(other).alias("o")).select("id", "n", "pos", F.col("o.id").alias("mate"), F.col("o.n").alias("n0"), F.col("o.pos").alias("pos0"))
+            pairs = filtered(nxt.where(_may_link(percent, "n", "n0", "pos", "pos0")).select(F.col("id").alias("a"), F.col("mate").alias("b")))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs, pairs_path = stash(pairs, "pairs")
@@ -311,6 +314,8 @@ def links(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, cells: int =
     rest = filtered(rest)
     if tested is not None:
         rest = rest.join(tested, ["a", "b"], "left_anti")
+    rest, rest_path = stash(rest, "pairs")
+    drop.append(rest_path)
     last, _ = stash(verified(rest, sets, percent), "good")
     for path in drop:
         remove(spark, path)
