@@ -127,6 +127,24 @@ def test_scores_of_nothing(spark):
     assert lm.score(df).count() == 0
 
 
+def test_scoring_asks_for_probabilities_of_many_windows_at_once(monkeypatch):
+    rng, inner = np.random.default_rng(8), lm.CLASSES * lm.MEMBERS
+    voc = lm.Vocabulary([lm.END] + [b"w%d" % k for k in range(inner)], np.arange(inner + 1, 0, -1), 10**6, inner + 1, np.full(lm.TAILS, 1e6))
+    p = lm.start(voc)
+    docs = [rng.integers(0, 1 + inner + lm.TAILS, n).astype("<u2") for n in (3200, 1, 33, 700)]
+    calls, output = [], lm.output
+    monkeypatch.setattr(lm, "output", lambda *a: calls.append(1) or output(*a))
+    got = lm.score_ids(p, docs)
+    assert len(calls) <= 2
+    for d, score in zip(docs, got, strict=True):
+        h, prev, want = np.zeros((1, lm.UNITS), np.float32), np.zeros(1, int), 0.0
+        for y in d.astype(int):
+            h = lm._step(p, prev, h)[-1]
+            prev = np.array([y])
+            want += float(output(p, h, prev)[0][0])
+        assert score == pytest.approx(want, rel=1e-4)
+
+
 # ---- neighbours ----
 
 

@@ -50,7 +50,9 @@ SMOOTH = 0.1
 END = b"\n"
 FLUSH = 400_000
 #: Tokens that a scoring or training task holds at a time, documents scored in step, and rows looked up at a time.
-HELD, TRAINED, STEP, ROWS = 3_000_000, 500_000, 1024, 512
+HELD, TRAINED, STEP, ROWS = 6_000_000, 500_000, 1024, 512
+#: Tokens of a call for output probabilities in scoring, about.
+OUT = 16_384
 #: Weights that a task averages.
 FAN = 32
 
@@ -111,12 +113,6 @@ class Vocabulary:
     def look(self, ws: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.index.get, ws, itertools.repeat(-1)), np.int64, len(ws))
 
-    def model_ids(self, ws: list[bytes], at: np.ndarray) -> np.ndarray:
-        out = self.ids[at] if len(self.ids) else np.zeros(len(ws), np.int32)
-        for k in np.flatnonzero(at < 0):
-            out[k] = 0 if ws[k] == END else 1 + CLASSES * MEMBERS + tail_class(ws[k])
-        return out
-
 
 def vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[Vocabulary, int]:
     """The vocabulary of a count table, and the least count of a head word. At most ``head`` words come to the driver."""
@@ -169,9 +165,27 @@ def _gates(p: dict, a: np.ndarray, h: np.ndarray):
     return z, q, c, n, n + z * (h - n)
 
 
+#: The class of each model id: the end, classes of members, rest classes.
+_CLASS = np.concatenate(([0], np.repeat(np.arange(1, CLASSES + 1), MEMBERS), np.arange(CLASSES + 1, CLASSES + 1 + TAILS))).astype(np.uint8)
+
+
+def _next(rec: np.ndarray, a: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The new state alone; a, the gates' input, is written over."""
+    r = h @ rec
+    s, n = a[:, : 2 * UNITS], r[:, 2 * UNITS :]
+    s += r[:, : 2 * UNITS]
+    _sigmoid_in(s)
+    n *= s[:, UNITS:]
+    n += a[:, 2 * UNITS :]
+    n = np.tanh(n)
+    out = h - n
+    out *= s[:, :UNITS]
+    out += n
+    return out
+
+
 def class_of(y: np.ndarray) -> np.ndarray:
-    inner = (y > 0) & (y <= CLASSES * MEMBERS)
-    return np.where(y == 0, 0, np.where(inner, 1 + (y - 1) // MEMBERS, y - CLASSES * MEMBERS + CLASSES))
+    return _CLASS[y]
 
 
 def output(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -179,7 +193,8 @@ def output(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> t
     cls, ht = class_of(y), np.ascontiguousarray(h.T)
     rows = np.arange(len(y))
     # classes by tokens: sums and maxima run along whole rows
-    u = p["cls"].T @ ht + p["cls_b"][:, None]
+    u = p["cls"].T @ ht
+    u += p["cls_b"][:, None]
     u -= u.max(0)
     lp = u[cls, rows]
     np.exp(u, out=u)
@@ -197,13 +212,13 @@ def output(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> t
     cut = np.searchsorted(cls[order], np.arange(1, CLASSES + 2))
     ho, m = ht[:, order], (y[order] - 1) % MEMBERS
     more, back = np.empty(len(order), lp.dtype), np.empty_like(ho)
-    for k in range(CLASSES):
-        a, b = cut[k], cut[k + 1]
+    for k, (a, b) in enumerate(itertools.pairwise(cut.tolist())):
         if a == b:
             continue
-        u = p["mem"][k].T @ ho[:, a:b] + p["mem_b"][k][:, None]
+        u = p["mem"][k].T @ ho[:, a:b]
+        u += p["mem_b"][k][:, None]
         u -= u.max(0)
-        of = np.arange(b - a)
+        of = rows[: b - a]
         more[a:b] = u[m[a:b], of]
         np.exp(u, out=u)
         s = u.sum(0)
@@ -223,9 +238,10 @@ def output(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> t
 
 def _rows(at: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of at, and the rows of d summed by them."""
-    order = np.argsort(at, kind="stable")
-    cut = np.flatnonzero(np.diff(at[order], prepend=-1))
-    return at[order][cut], np.add.reduceat(d[order], cut, axis=0)
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # 16-bit numbers are sorted by digits
+    there = at[order]
+    cut = np.flatnonzero(np.diff(there, prepend=-1))
+    return there[cut], np.add.reduceat(d[order], cut, axis=0)
 
 
 def window(p: dict, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
@@ -318,7 +334,9 @@ def learn(p: dict, squares: dict, docs: list[np.ndarray], passes: int = 1, rate:
 
 def score_ids(p: dict, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log of class and member probabilities, summed by document; the state runs through to the end."""
-    total = np.zeros(len(docs))
+    total, every = np.zeros(len(docs)), np.arange(STEP)
+    table, rec = p["in"] + p["bias"], p["rec"]
+    hs, ys, who, held = [], [], [], 0
     order = sorted(range(len(docs)), key=lambda k: -len(docs[k]))
     for a in range(0, len(order), STEP):
         part = np.array(order[a : a + STEP])
@@ -326,24 +344,24 @@ def score_ids(p: dict, docs: list[np.ndarray]) -> np.ndarray:
         h, prev = np.zeros((len(part), UNITS), np.float32), np.zeros(len(part), np.int32)
         for at in range(0, size[0], WINDOW):
             live = int(np.searchsorted(-size, -at))  # longer ones come first
-            wide = np.zeros((live, min(WINDOW, size[0] - at)), np.int32)
+            wide = np.zeros((min(WINDOW, size[0] - at), live), np.int32)
             for r in range(live):
                 w = docs[part[r]][at : at + WINDOW]
-                wide[r, : len(w)] = w
-            hs, ys, who = [], [], []
+                wide[: len(w), r] = w
             h, prev = h[:live], prev[:live]
-            for t in range(wide.shape[1]):
-                n = int(np.searchsorted(-size[:live], -(at + t)))
-                if n < len(h):
-                    h, prev = h[:n], prev[:n]
-                h = _step(p, prev, h)[-1]
-                prev = wide[:n, t]
+            inputs = table[np.concatenate((prev[None], wide[:-1]))]
+            for t, n in enumerate(np.searchsorted(-size[:live], -np.arange(at, at + len(wide))).tolist()):
+                h = _next(rec, inputs[t, :n], h[:n])
                 hs.append(h)
-                ys.append(prev)
+                ys.append(wide[t, :n])
                 who.append(n)
-            lp, _ = output(p, np.concatenate(hs), np.concatenate(ys))
-            row = np.concatenate([np.arange(n) for n in who])
-            total[part[:live]] += np.bincount(row, lp.astype(float), live)
+                held += n
+            prev = wide[-1]
+            if held >= OUT or at + WINDOW >= size[0]:
+                lp, _ = output(p, np.concatenate(hs), np.concatenate(ys))
+                row = np.concatenate([every[:n] for n in who])
+                total[part] += np.bincount(row, lp.astype(float), len(part))
+                hs, ys, who, held = [], [], [], 0
     return total
 
 
@@ -356,29 +374,35 @@ def looked_up(docs: DataFrame, voc) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = voc.value
-        log_c, log_m = np.log10(v.counts + SMOOTH), np.log10(v.mass)
+        # by head word, and last what a word outside has, whose number is -1
+        log_m = np.log10(v.mass)
+        log_c = np.append(np.log10(v.counts + SMOOTH), 0.0)
+        ids = np.append(v.ids, 0)
+        share = np.where(ids > CLASSES * MEMBERS, log_c - log_m[np.maximum(ids - 1 - CLASSES * MEMBERS, 0)], 0.0)
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
-                yield of(b.slice(at, ROWS), v, log_c, log_m)
+                yield of(b.slice(at, ROWS), v, log_m, log_c, ids, share)
 
-    def of(part: pa.RecordBatch, v: Vocabulary, log_c: np.ndarray, log_m: np.ndarray) -> pa.RecordBatch:
+    def of(part: pa.RecordBatch, v: Vocabulary, log_m: np.ndarray, log_c: np.ndarray, of_word: np.ndarray, share_of: np.ndarray) -> pa.RecordBatch:
         split = [tokens(t) for t in part.column(1).to_pylist()]
         size = np.array([len(ws) for ws in split], np.int64)
         flat = list(itertools.chain.from_iterable(split))
         at, row = v.look(flat), np.repeat(np.arange(len(split)), size)
-        ids = v.model_ids(flat, at)
-        head = at >= 0
-        logs = np.where(head, log_c[np.maximum(at, 0)], 0.0) if len(log_c) else np.zeros(len(at))
-        rest = ids > CLASSES * MEMBERS
-        share = np.where(rest, np.where(head, logs, 0.0) - log_m[np.where(rest, ids - 1 - CLASSES * MEMBERS, 0)], 0.0)
+        ids, share = of_word[at], share_of[at]
+        tails = [Counter() for _ in split]
+        outside = np.flatnonzero(at < 0)
+        for k, r in zip(outside.tolist(), row[outside].tolist(), strict=True):
+            w = flat[k]
+            tails[r][w] += 1
+            if w != END:
+                ids[k] = 1 + CLASSES * MEMBERS + tail_class(w)
+        rest = ids[outside]
+        share[outside] = np.where(rest > 0, -log_m[np.maximum(rest - 1 - CLASSES * MEMBERS, 0)], 0.0)
         sums = lambda x: pa.array(np.bincount(row, x, len(split)))
         ends = np.cumsum(size)
         raw = ids.astype("<u2")
-        tails = [Counter() for _ in split]
-        for k in np.flatnonzero(~head).tolist():
-            tails[row[k]][flat[k]] += 1
         cols = [
-            part.column(0), pa.array(size), pa.array(np.bincount(row, head, len(split)).astype(np.int64)), sums(logs), sums(share),
+            part.column(0), pa.array(size), pa.array(size - np.bincount(row[outside], minlength=len(split))), sums(log_c[at]), sums(share),
             pa.array([raw[e - n : e].tobytes() for e, n in zip(ends, size, strict=True)], pa.binary()),
             pa.array([list(c) for c in tails], pa.list_(pa.binary())), pa.array([list(c.values()) for c in tails], pa.list_(pa.int64())),
         ]
@@ -475,7 +499,7 @@ def _scored(rows: DataFrame, weights) -> DataFrame:
         for b in batches:
             for k, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 at.append(k)
-                seqs.append(np.frombuffer(ids, "<u2").astype(np.int32))
+                seqs.append(np.frombuffer(ids, "<u2"))
                 size += len(seqs[-1])
                 if size > HELD:
                     yield flush()
