@@ -315,6 +315,18 @@ def test_pieces():
         assert sum(x for _, x in cut) == n and all(x & (x - 1) == 0 and x <= 2048 for _, x in cut)
 
 
+def test_words_in_either_case_are_one_entry():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.VOCABULARY)
+    e, t = packing.Encoder(path), Tokenizer.from_file(path)
+    e.encode(["Word word WORD wOrd", "Word, WORD,"])
+    assert len(e.words) == 2
+    texts = ["W\u030a w\u030a A\u030a I\u0307 K\u0328x", "\u212aELVIN ΟΔΟΣ ABC漢字DEF İI", "<|ENDOFTEXT|> <|endoftext|> A<|B", "DON'T Rock'S x' y7 Z- \x7fA a\x7f", "q" * 400 + "1"]
+    for x, ids in zip(texts, e.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
 def test_packing_round_trip(spark):
     path = public_tokenizers.path(packing.VOCABULARY)
     texts = ["", None, "Hello  World's", "don't I'LL 'S x's ## $$", "é ü ß İ ΣΑΣ ﬁ ½ ² 漢字 á x\xa0y z", "a\x00b \x00", "<|endoftext|> <|x", "A" * 5000, "word " * 3000, "123 4.5,6"]

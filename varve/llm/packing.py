@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from struct import pack as pack_ids
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +38,22 @@ _PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+").fullmatch
 # how this vocabulary's file cuts lower-case Latin text into parts
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
 
+# ids as bytes, by their number
+_PACK = [Struct(f"<{n}I").pack for n in range(32)]
+
 # the sign this vocabulary has for a byte: the byte's own where it shows and is no space, else the next one from 256 on
 _HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
 _SIGNS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
 
 
+def _lower(raw: bytes) -> bytes:
+    """A-Z in lower case, as the vocabulary's rules will have it: one entry for both cases.
+
+    Not where a special token may be, nor a combining mark (U+0300 to U+037F), which is composed with a letter first.
+    """
+    return raw if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw else raw.lower()
+
+
 class Table(dict):
     """Values by name, made when first asked for, of bounded bytes: when full it becomes the old half, and what is asked for again is taken from there."""
 
@@ -58,8 +69,8 @@ class Table(dict):
         value = self.old.get(name)
         if value is None:
             value = self.make(name)
-        self.size += ENTRY + len(name) + len(value)
-        if self.size > self.limit:
+        self.size = size = self.size + ENTRY + len(name) + len(value)
+        if size > self.limit:
             self.old, self.size = dict(self), 0
             self.clear()
         self[name] = value
@@ -84,20 +95,23 @@ class Encoder:
     def _part(self, part: str) -> bytes:
         """Ids of a plain part in lower case: only the merges are left to do."""
         ids = [t.id for t in self.merge(part if part.isascii() else part.encode().decode("latin-1").translate(_SIGNS))]
-        return pack_ids(f"<{len(ids)}I", *ids)
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
 
     def _word(self, word: bytes) -> bytes:
         x = word.decode()
-        # a word of Latin letters alone is a part by itself
-        if x.isascii() and x.isalpha():
-            return self.parts[x.lower()]
+        if x.isascii():
+            # a word of Latin letters alone is a part by itself, and a sign or digit behind them is another
+            if x.isalpha():
+                return self.parts[x.lower()]
+            if (body := x[:-1]).isalpha() and x.isprintable():
+                return self.parts[body.lower()] + self.parts[x[-1]]
         if _PLAIN(x) and "<|" not in x:
             return b"".join([self.parts[p] for p in _PARTS(x.lower())])
         return np.array(self.t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         get = self.words.__getitem__
-        return [b"".join(map(get, (x or "").encode().split())) for x in texts]
+        return [b"".join(map(get, _lower((x or "").encode()).split())) for x in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
